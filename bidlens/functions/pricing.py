@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Money that is cumulated is kept exact, so sums do not depend on the order of the rows.
-MONEY = "decimal(18,4)"
+MONEY, TOTAL = "decimal(18,6)", "decimal(28,6)"
 
 
 def share_le(price: Column, limit: float) -> Column:

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bidlens.functions.pricing import TOTAL
 from bidlens.functions.timeparts import hour_start
 from bidlens.session import is_small, materialize
 
@@ -27,13 +28,15 @@ def tie(bid_id: Column) -> Column:
     return F.md5(bid_id.cast("string"))
 
 
+# A cell with no more wins than this is put in order as it is; a larger one is narrowed first.
+SORTED_WINS = 200_000
+
 # Levels of narrowing. A cell has a bounded number of cells of the next level: 3600 seconds,
-# 10^6 instants, 16^5 prefixes; the last level holds the ids of one prefix of one instant.
+# 10^6 instants, 16^5 prefixes.
 LEVELS = {
     "second_ts": lambda: F.date_trunc("second", F.col("ts")).cast("timestamp_ntz"),
     "ts": lambda: F.col("ts"),
     "tie_part": lambda: F.substring(tie(F.col("bid_id")), 1, 5),
-    "bid_id": lambda: F.col("bid_id"),
 }
 
 
@@ -41,12 +44,11 @@ def with_hour(df: DataFrame) -> DataFrame:
     return df if "hour_ts" in df.columns else df.withColumn("hour_ts", hour_start(F.col("ts")))
 
 
-def crossing(reached_by: DataFrame, cells: DataFrame, keys: Sequence[str], level: str) -> DataFrame:
+def crossing(reached_by: DataFrame, cells: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The cell of each campaign in which its spend reaches the budget.
 
     ``reached_by`` has the campaigns with ``budget`` and the spend ``before`` these cells.
     """
-    order = [tie(F.col("bid_id")), F.col("bid_id")] if level == "bid_id" else [F.col(level)]
     so_far = Window.partitionBy("campaign_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     summed = reached_by.join(cells, list(keys)).withColumn(
         "reached", F.col("before") + F.sum("spend").over(so_far)
@@ -58,53 +60,56 @@ def crossing(reached_by: DataFrame, cells: DataFrame, keys: Sequence[str], level
 
 
 def crossing_hours(campaigns: DataFrame, by_hour: DataFrame, lane: Sequence[str] = LANE) -> DataFrame:
-    """Hour in which each campaign runs out, from the spend per lane and hour."""
-    start = campaigns.select("campaign_id", *lane, "budget", F.lit(0).cast("decimal(28,4)").alias("before"))
-    cells = by_hour.select(*lane, "hour_ts", "spend")
-    return crossing(start, cells, lane, "hour_ts").select(
-        "campaign_id", *lane, "hour_ts", "budget", "before"
+    """Hour in which each campaign runs out, from ``spend`` and number of wins ``n`` per lane and
+    hour."""
+    start = campaigns.select("campaign_id", *lane, "budget", F.lit(0).cast(TOTAL).alias("before"))
+    cells = by_hour.select(*lane, "hour_ts", "spend", "n")
+    return crossing(start, cells, lane, [F.col("hour_ts")]).select(
+        "campaign_id", *lane, "hour_ts", "budget", "before", "n"
     )
 
 
-def narrow(won: DataFrame, hours: DataFrame, lane: Sequence[str] = LANE, small: bool = True) -> DataFrame:
+def narrow(
+    won: DataFrame,
+    hours: DataFrame,
+    lane: Sequence[str] = LANE,
+    small: bool = True,
+    sorted_wins: int = SORTED_WINS,
+) -> DataFrame:
     """From the hour in which a campaign runs out to the win that does it.
 
     ``won`` has one row per win of a lane with ``ts``, ``bid_id`` and ``pay``. With ``small``
     (no more campaigns than a broadcast may hold) the wanted cells, at most one per campaign,
     are broadcast. Every level is stored, one row per campaign, so that the next one is a plain
-    scan with a filter; levels nobody needs are not run. Copies of one bid id at one instant
-    count as one win.
+    scan with a filter. Copies of one bid id at one instant count as one win.
     """
     rows = with_hour(won).select(*lane, "hour_ts", "ts", "bid_id", "pay")
-    open_cells, keys, cuts = hours, [*lane, "hour_ts"], None
-    for level in LEVELS:
+    open_cells, keys = hours, [*lane, "hour_ts"]
+
+    def inside(*more: str) -> DataFrame:
         wanted = open_cells.select(*keys).distinct()
-        keyed = rows.withColumns({k: LEVELS[k]() for k in [*keys, level] if k not in rows.columns})
-        inside = keyed.join(F.broadcast(wanted) if small else wanted, keys)
-        first = F.col("bid_id") if level == "bid_id" else F.min("bid_id")
-        cells = inside.groupBy(*keys, level).agg(
-            F.sum("pay").alias("spend"), F.count("*").alias("n"), first.alias("first_bid")
-        )
-        found = materialize(crossing(open_cells, cells, keys, level))
+        names = [k for k in [*keys, *more] if k not in rows.columns]
+        keyed = rows.withColumns({k: LEVELS[k]() for k in names}) if names else rows
+        return keyed.join(F.broadcast(wanted) if small else wanted, keys)
+
+    for level in LEVELS:
+        if open_cells.filter(F.col("n") > sorted_wins).isEmpty():
+            break
+        cells = inside(level).groupBy(*keys, level).agg(F.sum("pay").alias("spend"), F.count("*").alias("n"))
+        found = crossing(open_cells.drop("n"), cells, keys, [F.col(level)])
         keys = [*keys, level]
-        open_cells = found.select("campaign_id", "budget", "before", *keys)
-        if level == "ts":
-            # An instant with one win is the cut; only the others go on to the ids.
-            cuts = cut_at(found.filter("n = 1"))
-            shared = found.filter("n > 1")
-            if shared.isEmpty():
-                return cuts
-            open_cells = shared.select("campaign_id", "budget", "before", *keys)
-    return cuts.unionByName(cut_at(found))
-
-
-def cut_at(found: DataFrame) -> DataFrame:
-    return found.select(
-        "campaign_id",
-        F.col("ts").alias("cut_ts"),
-        tie(F.col("first_bid")).alias("cut_tie"),
-        F.col("first_bid").alias("cut_bid"),
-        F.col("reached").alias("spent"),
+        open_cells = materialize(found.select("campaign_id", "budget", "before", "n", *keys))
+
+    wins = inside().groupBy(*dict.fromkeys([*keys, "ts", "bid_id"])).agg(F.sum("pay").alias("spend"))
+    in_order = [F.col("ts"), tie(F.col("bid_id")), F.col("bid_id")]
+    return materialize(
+        crossing(open_cells, wins, keys, in_order).select(
+            "campaign_id",
+            F.col("ts").alias("cut_ts"),
+            tie(F.col("bid_id")).alias("cut_tie"),
+            F.col("bid_id").alias("cut_bid"),
+            F.col("reached").alias("spent"),
+        )
     )
 
 
@@ -114,7 +119,7 @@ def budget_cuts(won: DataFrame, campaigns: DataFrame, lane: Sequence[str] = LANE
     The spend per hour is stored, so that finding the cut reads the log only in those hours.
     """
     won = with_hour(won)
-    by_hour = materialize(won.groupBy(*lane, "hour_ts").agg(F.sum("pay").alias("spend")))
+    by_hour = materialize(won.groupBy(*lane, "hour_ts").agg(F.sum("pay").alias("spend"), F.count("*").alias("n")))
     hours = materialize(crossing_hours(campaigns, by_hour, lane))
     return narrow(won, hours, lane, is_small(campaigns))
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidlens.functions.pricing import TOTAL
+
 # Additive counters of a set of requests of one lane while the budget lasts.
 COUNTERS = {
     "requests": lambda: F.count("*"),
@@ -24,7 +26,7 @@ COUNTERS = {
 COUNTER_TYPES = {name: "bigint" for name in COUNTERS} | {
     "e_clicks": "double",
     "a_priori_value": "double",
-    "spend": "decimal(28,4)",
+    "spend": TOTAL,
 }
 
 

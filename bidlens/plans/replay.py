@@ -85,9 +85,13 @@ def lanes(campaigns: DataFrame) -> DataFrame:
     return campaigns.select(*LANE_COLUMNS).distinct()
 
 
-def offers(requests: DataFrame, lane_table: DataFrame, landscape: DataFrame, strategies: Sequence[str]) -> DataFrame:
-    """Bid and auction result of every request in every lane of its advertiser."""
-    valued = with_value(route(requests, broadcast_if_small(lane_table)))
+def offers(requests: DataFrame, campaigns: DataFrame, landscape: DataFrame, strategies: Sequence[str]) -> DataFrame:
+    """Bid and auction result of every request in every lane of its advertiser. Campaigns and
+    landscape are counted, so pass stored ones."""
+    lane_table = lanes(campaigns)
+    if is_small(campaigns):
+        lane_table = F.broadcast(lane_table)
+    valued = with_value(route(requests, lane_table))
     weekday, hour = day_hour(F.col("ts"))
     cells = lognormal(
         with_landscape(
@@ -143,30 +147,28 @@ def campaign_counters(offered: DataFrame, campaigns: DataFrame) -> DataFrame:
     """
     small = is_small(campaigns)
     by_hour = materialize(count_requests(offered, [*LANE, "hour_ts"]))
-    hours = materialize(crossing_hours(campaigns, by_hour))
+    hours = materialize(crossing_hours(campaigns, by_hour.withColumn("n", F.col("impressions"))))
     cuts = narrow(offered.filter("won"), hours, LANE, small)
 
     ends = hours.select("campaign_id", F.col("hour_ts").alias("cut_hour"))
     per_hour = campaigns.join(ends, "campaign_id", "left").join(by_hour, LANE)
-    before = F.col("cut_hour").isNull() | (F.col("hour_ts") < F.col("cut_hour"))
-    whole = per_hour.filter(before).select("campaign_id", *COUNTERS)
-    after = per_hour.filter(F.col("hour_ts") > F.col("cut_hour")).select("campaign_id", *missed_only())
-
+    per_hour = per_hour.filter("cut_hour is null or hour_ts <> cut_hour").withColumn(
+        "seen", F.col("cut_hour").isNull() | (F.col("hour_ts") < F.col("cut_hour"))
+    )
     cut = hours.select("campaign_id", *LANE, "hour_ts").join(cuts, "campaign_id")
     edge = offered.join(F.broadcast(cut) if small else cut, [*LANE, "hour_ts"])
     edge = edge.withColumn("seen", within(F.col("ts"), F.col("bid_id")))
-    seen = count_requests(edge.filter("seen"), ["campaign_id"])
-    unseen = count_requests(edge.filter("not seen"), ["campaign_id"]).select("campaign_id", *missed_only())
+    parts = per_hour.select("campaign_id", "seen", *COUNTERS).unionByName(
+        count_requests(edge, ["campaign_id", "seen"])
+    )
 
-    parts = whole.unionByName(after).unionByName(seen).unionByName(unseen)
-    total = parts.groupBy("campaign_id").agg(*[F.sum(name).alias(name) for name in COUNTERS])
+    def total(name: str):
+        # Requests that came after the budget was gone count as missed and as nothing else.
+        unseen = F.col("requests") if name in ("requests", "missed") else F.lit(0).cast(COUNTER_TYPES[name])
+        return F.sum(F.when(F.col("seen"), F.col(name)).otherwise(unseen)).alias(name)
+
+    totals = parts.groupBy("campaign_id").agg(*[total(name) for name in COUNTERS])
     stops = cuts.select("campaign_id", "cut_ts")
-    counted = campaigns.join(total, "campaign_id", "left").join(stops, "campaign_id", "left")
+    counted = campaigns.join(totals, "campaign_id", "left").join(stops, "campaign_id", "left")
     zero = {name: F.coalesce(F.col(name), F.lit(0)) for name in COUNTERS}
     return counted.withColumns(zero).withColumn("actual_end_ts", F.coalesce("cut_ts", "end_ts"))
-
-
-def missed_only() -> list:
-    """Counters of requests that came after the budget was gone."""
-    kept = {"requests": F.col("requests"), "missed": F.col("requests")}
-    return [kept.get(name, F.lit(0).cast(kind)).alias(name) for name, kind in COUNTER_TYPES.items()]

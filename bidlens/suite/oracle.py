@@ -52,7 +52,7 @@ ADVERTISER = f"""advertisers as (
   from (values {", ".join(
       f"('{a}', {f}, timestamp '{END_SOFTWARE if a == 'Software' else END}')"
       for a, f in zip(ADVERTISERS, ECTR_FACTORS))}) s(advertiser, ectr_factor, end_ts)
-  join (select advertiser, cast(sum(cast(paying_price as decimal(18,4))) as double) as full_budget
+  join (select advertiser, cast(sum(cast(paying_price as decimal(18,6))) as double) as full_budget
         from bid_log where ts >= timestamp '{TRAIN_END}' and ts < timestamp '2024-01-25' group by 1) b
   using (advertiser))"""
 
@@ -63,14 +63,14 @@ LANDSCAPE = f"""landscape as (
 
 
 def r(expression: str, name: str) -> str:
-    return f'round({expression}, 6) as "{name}"'
+    return f'floor(({expression}) * 1e6::double + 0.5001::double) / 1e6::double as "{name}"'
 
 
 def campaigns(strategies: list[str], shading: float = 0.0, lam: float = 5.2e-7) -> str:
     runs = ", ".join(f"('{s}', {float(f)}::double)" for s in strategies for f in BUDGET_FACTORS)
     return f"""campaigns as (
   select advertiser || '_' || budget_factor::varchar || '_' || strategy as campaign_id, advertiser, strategy,
-    budget_factor, cast(budget_factor * full_budget as decimal(18,4)) as budget, click_value, ectr_factor,
+    budget_factor, cast(budget_factor * full_budget as decimal(18,6)) as budget, click_value, ectr_factor,
     start_ts, end_ts, click_value * base_ctr as bid_level, {shading}::double as shading, {lam}::double as lam
   from advertisers, (values {runs}) f(strategy, budget_factor)),
 lanes as (select distinct advertiser, strategy, click_value, ectr_factor, start_ts, end_ts, bid_level, shading, lam
@@ -118,7 +118,7 @@ def offers(strategies: list[str]) -> str:
 offers as (
   select *, open and bid > 0 as bidding, open and bid > 0 and bid >= winning_price as won,
     cast(case when not (open and bid > 0) then 0 when bid >= winning_price and bid >= floor_price then winning_price
-      when bid >= winning_price then bid else 0 end as decimal(18,4)) as pay
+      when bid >= winning_price then bid else 0 end as decimal(18,6)) as pay
   from bids),
 gate as (
   select o.*, c.campaign_id, c.budget, c.budget_factor,
@@ -277,8 +277,8 @@ from named""",
     "bid_requests": f"""with {BID_LOG}
 select bid_id::varchar as bid_id, date_trunc('millisecond', ts) as ts, advertiser, click > 0 as is_click,
   conversion > 0 as is_conversion, floor_price, paying_price as winning_price,
-  round(prediction * case user_id % 5 when 0 then 1.0::double when 1 then 1.1::double when 2 then 1.2::double
-    when 3 then 1.3::double else 1.4::double end, 6) as ctr_prediction, wp_prediction
+  {r("prediction * (case user_id % 5 when 0 then 1.0::double when 1 then 1.1::double when 2 then 1.2::double "
+     "when 3 then 1.3::double else 1.4::double end)", "ctr_prediction")}, wp_prediction
 from bid_log""",
     "impressions_only": f"""with {BID_LOG}
 select advertiser as "Advertiser", dayname(ts) as "Weekday", hour(ts)::int as "Hour",

@@ -76,7 +76,11 @@ ALL_FACTORS = [1.0, 0.5, 0.33, 0.25, 0.125, 0.1, 0.05, 0.01]
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(f"`{c}`"), 6) for c, kind in df.dtypes if kind == "double"})
+    # A little more than half, so that an exact tie rounds up whichever way its last bit falls.
+    def near(c: str):
+        return F.floor(F.col(f"`{c}`") * 1e6 + 0.5001) / 1e6
+
+    return df.withColumns({c: near(c) for c, kind in df.dtypes if kind == "double"})
 
 
 # --- sources and sinks
@@ -370,7 +374,7 @@ def bid_random(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def offered(spark: SparkSession, sf_dir: str, names: list[str], **options) -> tuple[DataFrame, DataFrame]:
     camp = t.campaigns(spark, sf_dir, names, **options)
-    return offers(t.requests(spark, sf_dir), lanes(camp), t.landscape(spark, sf_dir), names), camp
+    return offers(t.requests(spark, sf_dir), camp, t.landscape(spark, sf_dir), names), camp
 
 
 def bid_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -474,7 +478,7 @@ def staged_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
         fresh_path(spark, "staged"),
     )
     camp = t.campaigns(spark, sf_dir, names)
-    rows = offers(staged, lanes(camp), t.landscape(spark, sf_dir), names)
+    rows = offers(staged, camp, t.landscape(spark, sf_dir), names)
     return rounded(campaign_kpis(campaign_counters(rows, camp)))
 
 
