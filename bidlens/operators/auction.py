@@ -56,13 +56,16 @@ def with_auction(bids: DataFrame) -> DataFrame:
     """
     bid, price, floor = F.col("bid"), F.col("winning_price"), F.col("floor_price")
     runs = has_started(F.col("ts")) & ~has_ended(F.col("ts"))
-    bids = bids.withColumn("open", runs).withColumn("bids", F.col("open") & (bid > 0))
-    won = F.col("bids") & F.coalesce(is_won(bid, price), F.lit(False))
-    return (
-        bids.withColumn("won", won)
-        .withColumn("click", F.col("won") & F.coalesce("is_click", F.lit(False)))
-        .withColumn("conversion", F.col("won") & F.coalesce("is_conversion", F.lit(False)))
-        .withColumn("pay", money(F.when(F.col("won"), payment(bid, price, floor)).otherwise(F.lit(0.0))))
+    bidding = runs & (bid > 0)
+    won = bidding & F.coalesce(is_won(bid, price), F.lit(False))
+    bids = bids.withColumns({"open": runs, "bids": bidding, "won": won})
+    paid = F.when(F.col("won"), payment(bid, price, floor)).otherwise(F.lit(0.0))
+    return bids.withColumns(
+        {
+            "click": F.col("won") & F.coalesce("is_click", F.lit(False)),
+            "conversion": F.col("won") & F.coalesce("is_conversion", F.lit(False)),
+            "pay": money(paid),
+        }
     )
 
 

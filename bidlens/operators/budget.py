@@ -75,6 +75,7 @@ def narrow(
     lane: Sequence[str] = LANE,
     small: bool = True,
     sorted_wins: int = SORTED_WINS,
+    store: bool = True,
 ) -> DataFrame:
     """From the hour in which a campaign runs out to the win that does it.
 
@@ -102,15 +103,14 @@ def narrow(
 
     wins = inside().groupBy(*dict.fromkeys([*keys, "ts", "bid_id"])).agg(F.sum("pay").alias("spend"))
     in_order = [F.col("ts"), tie(F.col("bid_id")), F.col("bid_id")]
-    return materialize(
-        crossing(open_cells, wins, keys, in_order).select(
-            "campaign_id",
-            F.col("ts").alias("cut_ts"),
-            tie(F.col("bid_id")).alias("cut_tie"),
-            F.col("bid_id").alias("cut_bid"),
-            F.col("reached").alias("spent"),
-        )
+    cuts = crossing(open_cells, wins, keys, in_order).select(
+        "campaign_id",
+        F.col("ts").alias("cut_ts"),
+        tie(F.col("bid_id")).alias("cut_tie"),
+        F.col("bid_id").alias("cut_bid"),
+        F.col("reached").alias("spent"),
     )
+    return materialize(cuts) if store else cuts
 
 
 def budget_cuts(won: DataFrame, campaigns: DataFrame, lane: Sequence[str] = LANE) -> DataFrame:

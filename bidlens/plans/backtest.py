@@ -1,0 +1,325 @@
+"""Hourly backtest of strategies that are tuned from their own results.
+
+Within an hour a strategy bids with fixed parameters; at the first request of the next hour it
+is tuned again. So the replay is a loop over hours, and each hour is one job over that hour's
+requests for all campaigns. Between two hours stands one row per campaign: its parameters and
+totals. The driver, which made the campaigns, keeps these rows, as it keeps the model of an
+iterative training; requests never leave the executors, and these keep nothing between hours.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from bidlens.functions.pricing import MONEY, TOTAL
+from bidlens.functions.timeparts import WEEKDAYS
+from bidlens.operators.auction import has_ended, has_started, outcome, route, with_auction, with_value
+from bidlens.operators.budget import narrow, tie, with_hour, within
+from bidlens.operators.kpis import COUNTERS
+from bidlens.operators.landscape import (
+    DEFAULT_CTR,
+    DEFAULT_MU,
+    DEFAULT_RATE,
+    DEFAULT_SIGMA,
+    TRAINING_WEIGHT,
+)
+from bidlens.operators.strategies import bid_by_strategy
+from bidlens.plans.calibration import tuned_baseline, tuned_lambda, tuned_shading
+from bidlens.session import BROADCAST_ROWS, fresh_path, is_small
+
+SETTINGS = """campaign_id advertiser strategy budget_factor budget click_value ectr_factor start_ts
+    end_ts bid_level""".split()
+TUNED = ["baseline", "shading", "lambda"]
+CELL = ["rate", "mu", "sigma", "ctr"]
+HOUR = dt.timedelta(hours=1)
+
+
+def hour_of(ts: dt.datetime) -> dt.datetime:
+    return ts.replace(minute=0, second=0, microsecond=0)
+
+
+def first_requests(requests: DataFrame, campaigns: DataFrame) -> dict[tuple, dt.datetime]:
+    """First request of every advertiser, schedule and hour; one pass, one row per hour."""
+    schedule = F.broadcast(campaigns.select("advertiser", "start_ts", "end_ts").distinct())
+    in_time = has_started(F.col("ts")) & ~has_ended(F.col("ts"))
+    found = (
+        with_hour(requests)
+        .join(schedule, "advertiser")
+        .filter(in_time)
+        .groupBy("advertiser", "start_ts", "end_ts", "hour_ts")
+        .agg(F.min("ts").alias("now"))
+    )
+    return {(r.advertiser, r.start_ts, r.end_ts, r.hour_ts): r.now for r in found.collect()}
+
+
+def training_cells(landscape: DataFrame, campaigns: DataFrame) -> dict[str, pd.DataFrame]:
+    """The 168 cells of each advertiser with campaigns, by hour of the week from Monday."""
+    names = campaigns.select("advertiser").distinct()
+    known = landscape.join(F.broadcast(names), "advertiser", "left_semi").filter(
+        "mu is not null and sigma is not null"
+    )
+    cells: dict[str, pd.DataFrame] = {}
+    default = [DEFAULT_RATE, DEFAULT_MU, DEFAULT_SIGMA, DEFAULT_CTR]
+    for row in known.collect():
+        if row.advertiser not in cells:
+            cells[row.advertiser] = pd.DataFrame([default] * 168, columns=CELL)
+        position = WEEKDAYS.index(row.weekday) * 24 + row.hour
+        cells[row.advertiser].loc[position] = [row.rate, row.mu, row.sigma, row.ctr or 0.0]
+    for row in names.collect():
+        cells.setdefault(row.advertiser, pd.DataFrame([default] * 168, columns=CELL))
+    for table in cells.values():
+        table["location"], table["scale"] = shape(table["mu"], table["sigma"])
+    return cells
+
+
+def shape(mu, sigma):
+    spread = 1 + (sigma / mu) ** 2
+    return np.log(mu / np.sqrt(spread)), np.sqrt(np.log(spread))
+
+
+def week_hour(ts: dt.datetime) -> int:
+    return ts.weekday() * 24 + ts.hour
+
+
+def opening_state(campaigns: DataFrame) -> pd.DataFrame:
+    rows = [r.asDict() for r in campaigns.select(*SETTINGS, *TUNED).collect()]
+    state = pd.DataFrame(rows, columns=[*SETTINGS, *TUNED])
+    zero = state["budget"].iloc[0] * 0
+    for name in COUNTERS:
+        state[name] = zero if name == "spend" else 0
+    state = state.astype({"e_clicks": float, "a_priori_value": float, "spend": object})
+    for name in [*CELL, "location", "scale", "prev_rate", "prev_mu", "prev_sigma", "prev_ctr", "won_mu", "won_m2"]:
+        state[name] = 0.0
+    state["prev_wins"] = 0
+    for name in ["cut_ts", "cut_tie", "cut_bid"]:
+        state[name] = pd.Series([None] * len(state), dtype=object)
+    return state
+
+
+def mix_cells(s: pd.DataFrame, weight: float) -> pd.DataFrame:
+    """Pool training cell and last hour; see ``operators.landscape.mixed`` for the rule."""
+    n1, n2 = s["rate"] * weight, s["prev_rate"] * (1 - weight)
+    n = n1 + n2
+    usable = (s["prev_wins"] > 0) & (n > 1)
+    safe = n.where(usable, 2.0)
+    m = (n1 * s["mu"] + n2 * s["prev_mu"]) / safe
+    squares = n1 * (s["sigma"] ** 2 + (s["mu"] - m) ** 2) + n2 * (s["prev_sigma"] ** 2 + (s["prev_mu"] - m) ** 2)
+    pooled = {
+        "rate": n,
+        "mu": m,
+        "sigma": np.sqrt(squares / (safe - 1)),
+        "ctr": (n1 * s["ctr"] + n2 * s["prev_ctr"]) / safe,
+    }
+    return s.assign(**{name: value.where(usable, s[name]) for name, value in pooled.items()})
+
+
+def begin_hour(
+    state: pd.DataFrame, hour: dt.datetime, firsts: dict, cells: dict, mode: str, weight: float, options: dict
+) -> pd.DataFrame:
+    """Campaigns that run in an hour, with their parameters for it.
+
+    A campaign is updated at its first request of a new hour while it runs; in the hour it
+    starts in it keeps its first parameters.
+    """
+    now = [firsts.get((s.advertiser, s.start_ts, s.end_ts, hour)) for s in state.itertuples()]
+    live = state.assign(now=pd.Series(now, index=state.index, dtype=object))
+    live = live[live["now"].notna() & live["cut_ts"].isna()].copy()
+    if live.empty:
+        return live
+    training = pd.concat([cells[a].iloc[[week_hour(hour)]] for a in live["advertiser"]]).set_index(live.index)
+    live[CELL] = training[CELL]
+    later = live["start_ts"].map(hour_of) < hour
+    live = pd.concat([live[~later], mix_cells(live[later], weight)]).sort_index()
+    live["location"], live["scale"] = shape(live["mu"], live["sigma"])
+    left = [
+        cells[s.advertiser].iloc[[(week_hour(s.now) + i) % 168 for i in range(int((s.end_ts - s.now) // HOUR) + 1)]]
+        for s in live.itertuples()
+    ]
+    for name in ("rate", "location", "scale"):
+        live[f"{name}s"] = pd.Series([table[name].to_numpy() for table in left], index=live.index, dtype=object)
+    live["won_sigma"] = np.sqrt(live["won_m2"] / np.maximum(live["impressions"] - 1, 1))
+    tuners = {
+        "LinearWithPacingPastCPM": ("baseline", lambda c: tuned_baseline(c, **options)),
+        "ShadedValueBidder": ("shading", lambda c: tuned_shading(c, **options)),
+        "ORTB": ("lambda", lambda c: tuned_lambda(c, mode, **options)),
+    }
+    for strategy, (parameter, tune) in tuners.items():
+        due = later & (live["strategy"] == strategy)
+        if due.any():
+            live.loc[due, parameter] = tune(live[due])
+    return live.drop(columns=["rates", "locations", "scales", "won_sigma"])
+
+
+USED = [*SETTINGS, *TUNED, "ctr", "location", "scale"]
+SETTING_TYPES = f"""campaign_id string, advertiser string, strategy string, budget_factor double,
+    budget {MONEY}, click_value double, ectr_factor double, start_ts timestamp_ntz, end_ts timestamp_ntz,
+    bid_level double, baseline double, shading double, lambda double, ctr double, location double,
+    scale double"""
+USED_TYPES = f"{SETTING_TYPES}, remaining {MONEY}"
+
+
+def local_table(spark, rows: pd.DataFrame, schema: str) -> DataFrame:
+    """A table the driver made, held in the plan itself."""
+    return spark.createDataFrame(pa.Table.from_pandas(rows, preserve_index=False), schema)
+
+
+def hour_offers(requests: DataFrame, live: pd.DataFrame, strategies: Sequence[str]) -> DataFrame:
+    """Bids and auction results of the requests of one hour for the campaigns that run."""
+    table = live[USED].assign(remaining=live["budget"] - live["spend"])
+    offered = route(requests, F.broadcast(local_table(requests.sparkSession, table, USED_TYPES)))
+    return with_auction(with_value(offered).withColumn("bid", bid_by_strategy(list(strategies))))
+
+
+def hour_result(rows: DataFrame, stopped: bool = False) -> pd.DataFrame:
+    """Counters and won-price moments per campaign: what the driver gets of an hour."""
+    price = F.when(F.col("won"), F.col("pay").cast("double"))
+    last = F.max(F.when(F.col("won"), F.struct("ts", tie(F.col("bid_id")).alias("tie"), "bid_id")))
+    result = rows.groupBy("campaign_id").agg(
+        *[f().alias(name) for name, f in COUNTERS.items()],
+        F.avg(price).alias("mu"),
+        F.var_pop(price).alias("var"),
+        F.stddev_samp(price).alias("sigma"),
+        *([last.alias("cut")] if stopped else []),
+    )
+    found = result.collect()
+    table = pd.DataFrame([r.asDict() for r in found], columns=result.columns).set_index("campaign_id")
+    return table.astype({"mu": float, "var": float, "sigma": float})
+
+
+def stop_at_budget(rows: DataFrame, over: pd.DataFrame, result: pd.DataFrame, hour: dt.datetime) -> pd.DataFrame:
+    """Result of the hour again for campaigns that run out of budget in it, up to that win."""
+    cells = pd.DataFrame(
+        {
+            "campaign_id": over["campaign_id"],
+            "hour_ts": hour,
+            "budget": over["budget"] - over["spend"],
+            "before": over["budget"] * 0,
+            "n": result["impressions"].reindex(over["campaign_id"]).to_numpy(),
+        }
+    )
+    schema = f"campaign_id string, hour_ts timestamp_ntz, budget {TOTAL}, before {TOTAL}, n bigint"
+    hours = local_table(rows.sparkSession, cells, schema)
+    cuts = narrow(rows.filter("won"), hours, ["campaign_id"], store=False)
+    at = cuts.select("campaign_id", "cut_ts", "cut_tie", "cut_bid")
+    seen = rows.join(F.broadcast(at), "campaign_id").filter(within(F.col("ts"), F.col("bid_id")))
+    return hour_result(seen, stopped=True)
+
+
+def end_hour(live: pd.DataFrame, result: pd.DataFrame) -> pd.DataFrame:
+    """Add an hour's result to the totals and keep its statistics for the next tuning."""
+    done = live.set_index("campaign_id", drop=False)
+    h = result.reindex(done.index)
+    wins, before = h["impressions"].astype(float), done["impressions"].astype(float)
+    mu, var = h["mu"].astype(float).fillna(0.0), h["var"].astype(float).fillna(0.0)
+    share = wins / (wins + before).where(wins > 0, 1.0)
+    delta = mu - done["won_mu"]
+    done["won_m2"] = done["won_m2"] + var * wins + delta * delta * before * share
+    done["won_mu"] = done["won_mu"] + delta * share
+    sigma = h["sigma"].astype(float).fillna(0.0)
+    done["prev_rate"], done["prev_wins"], done["prev_mu"] = h["requests"].astype(float), h["impressions"], mu
+    done["prev_sigma"] = sigma.where((wins >= 2) & (sigma > 0), 1.0)
+    done["prev_ctr"] = h["clicks"].astype(float) / wins.where(wins > 0, 1.0)
+    for name in COUNTERS:
+        done[name] = done[name] + h[name]
+    return done.set_index(live.index)
+
+
+def hours_of(state: pd.DataFrame) -> list[dt.datetime]:
+    first, last = min(map(hour_of, state["start_ts"])), max(map(hour_of, state["end_ts"]))
+    return [first + i * HOUR for i in range(int((last - first) // HOUR) + 1)]
+
+
+def in_hour(requests: DataFrame, hour: dt.datetime) -> DataFrame:
+    """Requests of one hour: a range of ``ts`` that files can be skipped by, and the partition
+    where the requests are stored by hour."""
+    lower, upper = F.lit(hour), F.lit(hour + HOUR)
+    lower, upper = lower.cast("timestamp_ntz"), upper.cast("timestamp_ntz")
+    rows = requests.filter((F.col("ts") >= lower) & (F.col("ts") < upper))
+    return rows.filter(F.col("hour_ts") == lower) if "hour_ts" in rows.columns else rows
+
+
+def backtest(
+    requests: DataFrame,
+    campaigns: DataFrame,
+    landscape: DataFrame,
+    strategies: Sequence[str],
+    mode: str = "static",
+    weight: float = TRAINING_WEIGHT,
+    **options,
+) -> tuple[DataFrame, DataFrame]:
+    """Replay hour by hour.
+
+    Returns the campaigns after the last hour, and the history: the parameters of every campaign
+    in every hour it ran. ``options`` are the tolerance and ``compat_nan_tune`` of the tuning.
+    ``requests`` may be stored by hour, see ``stage_requests``.
+    """
+    spark = requests.sparkSession
+    if not is_small(campaigns):
+        raise ValueError(f"a backtest holds at most {BROADCAST_ROWS} campaigns")
+    state = opening_state(campaigns)
+    cells = training_cells(landscape, campaigns)
+    firsts = first_requests(requests, campaigns)
+    history = []
+    for hour in hours_of(state):
+        live = begin_hour(state, hour, firsts, cells, mode, weight, options)
+        if live.empty:
+            continue
+        rows = hour_offers(in_hour(requests, hour), live, strategies)
+        result = hour_result(rows)
+        spent = live["spend"] + result["spend"].reindex(live["campaign_id"]).to_numpy()
+        over = live[spent >= live["budget"]]
+        if not over.empty:
+            again = with_hour(hour_offers(in_hour(requests, hour), over, strategies))
+            stopped = stop_at_budget(again, over, result, hour)
+            cuts = stopped.pop("cut")
+            result = pd.concat([result.drop(stopped.index), stopped])
+            for i in over.index:
+                cut = cuts[over.at[i, "campaign_id"]]
+                live.at[i, "cut_ts"], live.at[i, "cut_tie"], live.at[i, "cut_bid"] = cut.ts, cut.tie, cut.bid_id
+        history.append(live.assign(remaining=live["budget"] - live["spend"], hour_ts=hour))
+        done = end_hour(live, result)
+        columns = state.columns.intersection(done.columns)
+        state.loc[done.index, columns] = done[columns]
+    return final_state(spark, state, requests), history_table(spark, history, requests)
+
+
+def final_state(spark, state: pd.DataFrame, requests: DataFrame) -> DataFrame:
+    """Counters of every campaign; requests it did not handle are missed."""
+    schema = f"""{SETTING_TYPES}, impressions bigint, lost bigint, passed bigint, clicks bigint,
+        conversions bigint, e_clicks double, a_priori_value double, spend {TOTAL}, cut_ts timestamp_ntz"""
+    names = ["impressions", "lost", "passed", "clicks", "conversions", "e_clicks", "a_priori_value", "spend", "cut_ts"]
+    last = local_table(spark, state[[*USED, *names]], schema)
+    offered = requests.groupBy("advertiser").agg(F.count("*").alias("requests"))
+    handled = F.col("impressions") + F.col("lost") + F.col("passed")
+    return (
+        last.join(offered, "advertiser", "left")
+        .withColumn("requests", F.coalesce("requests", F.lit(0)))
+        .withColumn("missed", F.col("requests") - handled)
+        .withColumn("actual_end_ts", F.coalesce("cut_ts", "end_ts"))
+    )
+
+
+def history_table(spark, history: list[pd.DataFrame], requests: DataFrame) -> DataFrame:
+    """Parameters by campaign and hour, stored in the shared folder."""
+    bid_type = dict(requests.dtypes)["bid_id"]
+    schema = f"{USED_TYPES}, cut_ts timestamp_ntz, cut_tie string, cut_bid {bid_type}, hour_ts timestamp_ntz"
+    names = [*USED, "remaining", "cut_ts", "cut_tie", "cut_bid", "hour_ts"]
+    path = fresh_path(spark, "history")
+    local_table(spark, pd.concat(history)[names], schema).write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def backtest_offers(history: DataFrame, requests: DataFrame, strategies: Sequence[str]) -> DataFrame:
+    """All requests of a backtest with bids and outcomes, from the stored parameters: one job
+    over the log instead of appends per hour."""
+    used = F.broadcast(history) if is_small(history) else history
+    rows = with_hour(requests).join(used, ["advertiser", "hour_ts"])
+    bids = with_auction(with_value(rows).withColumn("bid", bid_by_strategy(list(strategies))))
+    return bids.withColumn("seen", within(F.col("ts"), F.col("bid_id"))).withColumn("outcome", outcome())
