@@ -17,11 +17,24 @@ def route(requests: DataFrame, campaigns: DataFrame) -> DataFrame:
     return requests.join(campaigns, "advertiser")
 
 
-def with_value(routed: DataFrame) -> DataFrame:
+Layers = list[dict[str, Column]]
+
+
+def add_layers(df: DataFrame, layers: Layers) -> DataFrame:
+    """Add columns in layers; a layer may use the columns of those before. A loop over many
+    inputs builds its layers once."""
+    for layer in layers:
+        df = df.withColumns(layer)
+    return df
+
+
+def value_layers() -> Layers:
     probability = ectr(F.col("ctr_prediction"), F.col("ectr_factor"))
-    return routed.withColumn("ectr", probability).withColumn(
-        "private_value", private_value(F.col("ectr"), F.col("click_value"))
-    )
+    return [{"ectr": probability}, {"private_value": private_value(F.col("ectr"), F.col("click_value"))}]
+
+
+def with_value(routed: DataFrame) -> DataFrame:
+    return add_layers(routed, value_layers())
 
 
 def with_expected_kpis(valued: DataFrame) -> DataFrame:
@@ -48,25 +61,27 @@ def has_ended(ts: Column) -> Column:
     return ts > F.col("end_ts")
 
 
+def auction_layers() -> Layers:
+    bid, price, floor = F.col("bid"), F.col("winning_price"), F.col("floor_price")
+    runs = has_started(F.col("ts")) & ~has_ended(F.col("ts"))
+    bidding = runs & (bid > 0)
+    won = bidding & F.coalesce(is_won(bid, price), F.lit(False))
+    paid = F.when(F.col("won"), payment(bid, price, floor)).otherwise(F.lit(0.0))
+    result = {
+        "click": F.col("won") & F.coalesce("is_click", F.lit(False)),
+        "conversion": F.col("won") & F.coalesce("is_conversion", F.lit(False)),
+        "pay": money(paid),
+    }
+    return [{"open": runs, "bids": bidding, "won": won}, result]
+
+
 def with_auction(bids: DataFrame) -> DataFrame:
     """Resolve the auction of every row with a ``bid``.
 
     ``open`` tells whether the campaign runs by its schedule, ``won`` and ``pay`` what the bid
     brings while the budget lasts.
     """
-    bid, price, floor = F.col("bid"), F.col("winning_price"), F.col("floor_price")
-    runs = has_started(F.col("ts")) & ~has_ended(F.col("ts"))
-    bidding = runs & (bid > 0)
-    won = bidding & F.coalesce(is_won(bid, price), F.lit(False))
-    bids = bids.withColumns({"open": runs, "bids": bidding, "won": won})
-    paid = F.when(F.col("won"), payment(bid, price, floor)).otherwise(F.lit(0.0))
-    return bids.withColumns(
-        {
-            "click": F.col("won") & F.coalesce("is_click", F.lit(False)),
-            "conversion": F.col("won") & F.coalesce("is_conversion", F.lit(False)),
-            "pay": money(paid),
-        }
-    )
+    return add_layers(bids, auction_layers())
 
 
 def outcome() -> Column:

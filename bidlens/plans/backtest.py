@@ -15,12 +15,21 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidlens.functions.pricing import MONEY, TOTAL
 from bidlens.functions.timeparts import WEEKDAYS
-from bidlens.operators.auction import has_ended, has_started, outcome, route, with_auction, with_value
+from bidlens.operators.auction import (
+    Layers,
+    add_layers,
+    auction_layers,
+    has_ended,
+    has_started,
+    outcome,
+    route,
+    value_layers,
+)
 from bidlens.operators.budget import narrow, tie, with_hour, within
 from bidlens.operators.kpis import COUNTERS
 from bidlens.operators.landscape import (
@@ -31,7 +40,7 @@ from bidlens.operators.landscape import (
     TRAINING_WEIGHT,
 )
 from bidlens.operators.strategies import bid_by_strategy
-from bidlens.plans.calibration import tuned_baseline, tuned_lambda, tuned_shading
+from bidlens.plans.calibration import SHADING_RANGE, tuned_baseline, tuned_lambda, tuned_shading
 from bidlens.session import BROADCAST_ROWS, fresh_path, is_small
 
 SETTINGS = """campaign_id advertiser strategy budget_factor budget click_value ectr_factor start_ts
@@ -170,30 +179,39 @@ def local_table(spark, rows: pd.DataFrame, schema: str) -> DataFrame:
     return spark.createDataFrame(pa.Table.from_pandas(rows, preserve_index=False), schema)
 
 
-def hour_offers(requests: DataFrame, live: pd.DataFrame, strategies: Sequence[str]) -> DataFrame:
+def offer_layers(strategies: Sequence[str]) -> Layers:
+    return [*value_layers(), {"bid": bid_by_strategy(list(strategies))}, *auction_layers()]
+
+
+def hour_offers(requests: DataFrame, live: pd.DataFrame, layers: Layers) -> DataFrame:
     """Bids and auction results of the requests of one hour for the campaigns that run."""
     table = live[USED].assign(remaining=live["budget"] - live["spend"])
     offered = route(requests, F.broadcast(local_table(requests.sparkSession, table, USED_TYPES)))
-    return with_auction(with_value(offered).withColumn("bid", bid_by_strategy(list(strategies))))
+    return add_layers(offered, layers)
 
 
-def hour_result(rows: DataFrame, stopped: bool = False) -> pd.DataFrame:
-    """Counters and won-price moments per campaign: what the driver gets of an hour."""
+def result_columns() -> list[Column]:
     price = F.when(F.col("won"), F.col("pay").cast("double"))
-    last = F.max(F.when(F.col("won"), F.struct("ts", tie(F.col("bid_id")).alias("tie"), "bid_id")))
-    result = rows.groupBy("campaign_id").agg(
+    return [
         *[f().alias(name) for name, f in COUNTERS.items()],
         F.avg(price).alias("mu"),
         F.var_pop(price).alias("var"),
         F.stddev_samp(price).alias("sigma"),
-        *([last.alias("cut")] if stopped else []),
-    )
-    found = result.collect()
-    table = pd.DataFrame([r.asDict() for r in found], columns=result.columns).set_index("campaign_id")
+        F.max(F.when(F.col("won"), F.struct("ts", tie(F.col("bid_id")).alias("tie"), "bid_id"))).alias("cut"),
+    ]
+
+
+def hour_result(rows: DataFrame, columns: list[Column]) -> pd.DataFrame:
+    """Counters, won-price moments and last win per campaign: what the driver gets of an hour."""
+    found = rows.groupBy("campaign_id").agg(*columns).collect()
+    names = ["campaign_id", *COUNTERS, "mu", "var", "sigma", "cut"]
+    table = pd.DataFrame([tuple(r) for r in found], columns=names).set_index("campaign_id")
     return table.astype({"mu": float, "var": float, "sigma": float})
 
 
-def stop_at_budget(rows: DataFrame, over: pd.DataFrame, result: pd.DataFrame, hour: dt.datetime) -> pd.DataFrame:
+def stop_at_budget(
+    rows: DataFrame, over: pd.DataFrame, result: pd.DataFrame, hour: dt.datetime, columns: list[Column]
+) -> pd.DataFrame:
     """Result of the hour again for campaigns that run out of budget in it, up to that win."""
     cells = pd.DataFrame(
         {
@@ -209,7 +227,7 @@ def stop_at_budget(rows: DataFrame, over: pd.DataFrame, result: pd.DataFrame, ho
     cuts = narrow(rows.filter("won"), hours, ["campaign_id"], store=False)
     at = cuts.select("campaign_id", "cut_ts", "cut_tie", "cut_bid")
     seen = rows.join(F.broadcast(at), "campaign_id").filter(within(F.col("ts"), F.col("bid_id")))
-    return hour_result(seen, stopped=True)
+    return hour_result(seen, columns)
 
 
 def end_hour(live: pd.DataFrame, result: pd.DataFrame) -> pd.DataFrame:
@@ -264,29 +282,33 @@ def backtest(
     if not is_small(campaigns):
         raise ValueError(f"a backtest holds at most {BROADCAST_ROWS} campaigns")
     state = opening_state(campaigns)
+    if options.get("compat_nan_tune"):
+        # Tuned once before the first request, when there is no price per win yet.
+        state["baseline"] = state["baseline"].where(state["strategy"] != "LinearWithPacingPastCPM", state["baseline"] / 2)
+        middle = (state["shading"] + SHADING_RANGE[1]) / 2
+        state["shading"] = state["shading"].where(state["strategy"] != "ShadedValueBidder", middle)
     cells = training_cells(landscape, campaigns)
     firsts = first_requests(requests, campaigns)
-    history = []
+    layers, columns, history = offer_layers(strategies), result_columns(), []
     for hour in hours_of(state):
         live = begin_hour(state, hour, firsts, cells, mode, weight, options)
         if live.empty:
             continue
-        rows = hour_offers(in_hour(requests, hour), live, strategies)
-        result = hour_result(rows)
+        rows = in_hour(requests, hour)
+        result = hour_result(hour_offers(rows, live, layers), columns)
         spent = live["spend"] + result["spend"].reindex(live["campaign_id"]).to_numpy()
         over = live[spent >= live["budget"]]
         if not over.empty:
-            again = with_hour(hour_offers(in_hour(requests, hour), over, strategies))
-            stopped = stop_at_budget(again, over, result, hour)
-            cuts = stopped.pop("cut")
+            again = with_hour(hour_offers(rows, over, layers))
+            stopped = stop_at_budget(again, over, result, hour, columns)
             result = pd.concat([result.drop(stopped.index), stopped])
             for i in over.index:
-                cut = cuts[over.at[i, "campaign_id"]]
+                cut = stopped.at[over.at[i, "campaign_id"], "cut"]
                 live.at[i, "cut_ts"], live.at[i, "cut_tie"], live.at[i, "cut_bid"] = cut.ts, cut.tie, cut.bid_id
         history.append(live.assign(remaining=live["budget"] - live["spend"], hour_ts=hour))
         done = end_hour(live, result)
-        columns = state.columns.intersection(done.columns)
-        state.loc[done.index, columns] = done[columns]
+        kept = state.columns.intersection(done.columns)
+        state.loc[done.index, kept] = done[kept]
     return final_state(spark, state, requests), history_table(spark, history, requests)
 
 
@@ -321,5 +343,5 @@ def backtest_offers(history: DataFrame, requests: DataFrame, strategies: Sequenc
     over the log instead of appends per hour."""
     used = F.broadcast(history) if is_small(history) else history
     rows = with_hour(requests).join(used, ["advertiser", "hour_ts"])
-    bids = with_auction(with_value(rows).withColumn("bid", bid_by_strategy(list(strategies))))
+    bids = add_layers(rows, offer_layers(strategies))
     return bids.withColumn("seen", within(F.col("ts"), F.col("bid_id"))).withColumn("outcome", outcome())

@@ -19,7 +19,7 @@ from bidlens.operators.features import (
 from bidlens.operators.kpis import campaign_kpis
 from bidlens.operators.models import error_table, fit_price_model, model_report, score_requests
 from bidlens.operators.prep import map_dictionary, map_slot_columns, split_log
-from bidlens.plans.backtest import backtest, backtest_offers
+from bidlens.plans.backtest import backtest
 from bidlens.plans.calibration import calibrate_linear, calibrate_ort, calibrate_shading, with_future
 from bidlens.plans.replay import lanes
 from bidlens.session import broadcast_if_small, fresh_path, materialize
@@ -162,33 +162,25 @@ def calibrate_shading_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(calibrate_shading(running_campaigns(spark, sf_dir), tolerance=1.0).select("campaign_id", "shading"))
 
 
-def calibrate_ort_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lambda of both tuning modes, times a million for comparison at six decimals."""
-    rows = materialize(running_campaigns(spark, sf_dir))
-    past = calibrate_ort(rows, "past_cpc").select("campaign_id", (F.col("lambda") * 1e6).alias("past_cpc"))
-    dual = calibrate_ort(rows, "dual", tolerance=1.0).select("campaign_id", (F.col("lambda") * 1e6).alias("dual"))
-    return rounded(past.join(dual, "campaign_id"))
+def calibrate_ort_query(mode: str, **options):
+    """Lambda, times a million for comparison at six decimals."""
 
-
-def backtest_of(strategy: str, mode: str = "static"):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        final, _ = run_backtest(spark, sf_dir, strategy, mode)
-        return rounded(campaign_kpis(final))
+        tuned = calibrate_ort(running_campaigns(spark, sf_dir), mode, **options)
+        return rounded(tuned.select("campaign_id", (F.col("lambda") * 1e6).alias(mode)))
 
     return query
 
 
-def run_backtest(spark: SparkSession, sf_dir: str, strategy: str, mode: str = "static"):
-    camp = t.campaigns(spark, sf_dir, [strategy], lam=0.01)
-    options = {"tolerance": TOLERANCE[strategy]} if strategy in TOLERANCE else {}
-    return backtest(t.requests(spark, sf_dir), camp, t.landscape(spark, sf_dir), [strategy], mode, **options)
-
+def backtest_of(strategy: str, mode: str = "static"):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        camp = t.campaigns(spark, sf_dir, [strategy], lam=0.01)
+        options = {"tolerance": TOLERANCE[strategy]} if strategy in TOLERANCE else {}
+        landscape = t.landscape(spark, sf_dir)
+        final, _ = backtest(t.requests(spark, sf_dir), camp, landscape, [strategy], mode, **options)
+        return rounded(campaign_kpis(final))
 
-def backtest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every bid of the shaded backtest, from the stored parameters."""
-    _, history = run_backtest(spark, sf_dir, "ShadedValueBidder")
-    rows = backtest_offers(history, t.requests(spark, sf_dir), ["ShadedValueBidder"])
-    return rounded(rows.filter("seen and bids").select("campaign_id", "bid_id", "bid", "outcome", "shading"))
+    return query
 
 
 # --- streams
@@ -203,7 +195,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_hourly_landscape(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "stream-landscape")
     run_available(stream_landscape(event_stream(spark, sf_dir)), path, fresh_path(spark, "stream-state"))
-    return rounded(spark.read.parquet(path))
+    return rounded(spark.read.parquet(path).withColumn("hour_ts", F.col("hour_ts").cast("timestamp_ntz")))
 
 
 def stream_auction_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,12 +221,12 @@ MODEL_QUERIES = {
     "score_requests": score_log,
     "calibrate_linear": calibrate_linear_query,
     "calibrate_shading": calibrate_shading_query,
-    "calibrate_ort": calibrate_ort_query,
+    "calibrate_ort": calibrate_ort_query("dual", tolerance=1.0),
+    "calibrate_ort_past_cpc": calibrate_ort_query("past_cpc"),
     "backtest_linear": backtest_of("LinearBidder"),
     "backtest_pacing": backtest_of("LinearWithPacingPastCPM"),
     "backtest_shaded": backtest_of("ShadedValueBidder"),
     "backtest_ort": backtest_of("ORTB", "dual"),
-    "backtest_events": backtest_events,
     "stream_hourly_landscape": stream_hourly_landscape,
     "stream_auction_outcome": stream_auction_outcome,
 }

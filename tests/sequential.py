@@ -1,0 +1,130 @@
+"""A campaign replayed one request at a time, as a check of the distributed plans."""
+
+import datetime as dt
+import math
+from decimal import ROUND_HALF_UP, Decimal
+
+HOUR = dt.timedelta(hours=1)
+DEFAULT = (0.0, 75.0, 50.0, 8e-4)
+
+
+def cdf(x):
+    return 0.5 * math.erfc(-x / math.sqrt(2))
+
+
+def shape(mu, sigma):
+    spread = 1 + sigma * sigma / (mu * mu)
+    return math.log(mu / math.sqrt(spread)), math.sqrt(math.log(spread))
+
+
+def ort_bid(kpi, lam, loc, scl, cap):
+    low, high, bid = 0.0, cap, cap / 2
+
+    def gap(b):
+        x = (math.log(b) - loc) / scl
+        return lam * cdf(x) - (kpi - lam * b) / (scl * b) * math.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+
+    for step in range(20):
+        g = gap(bid)
+        if step and abs(g) <= 1e-10 * lam:
+            break
+        if g < 0:
+            low, bid = bid, (bid + high) / 2
+        else:
+            high, bid = bid, (low + bid) / 2
+    return bid
+
+
+def halve(x, low, high, spend, target, rises, steps, tolerance):
+    for _ in range(steps):
+        if (spend(x) < target) == rises:
+            low, x = x, (x + high) / 2
+        else:
+            high, x = x, (low + x) / 2
+        if abs(spend(x) - target) <= tolerance:
+            break
+    return x
+
+
+def replay(requests, c, cells, strategy, mode="static", tolerance=1.0):
+    """Outcome of each request, and the totals. ``cells`` maps (weekday 0-6, hour) to a tuple."""
+    spent, wins, clicks, prices = 0.0, 0, 0, []
+    baseline, shading, lam = c["baseline"], c["shading"], c["lambda"]
+    hour, last, out, outcomes, decided = c["start_ts"].replace(minute=0, second=0, microsecond=0), [], False, [], {}
+    current = cells.get((hour.weekday(), hour.hour), DEFAULT)
+    for r in sorted(requests, key=lambda r: (r["ts"], r["bid_id"])):
+        now = r["ts"]
+        active = not out and c["start_ts"] < now <= c["end_ts"]
+        if not active:
+            outcomes.append((r["bid_id"], "missed"))
+            continue
+        this_hour = now.replace(minute=0, second=0, microsecond=0)
+        if this_hour != hour:
+            hour_wins = [p for p, _ in last if p is not None]
+            rate, mu, sigma, ctr = cells.get((now.weekday(), now.hour), DEFAULT)
+            if hour_wins:
+                m2 = sum(hour_wins) / len(hour_wins)
+                ss = sum((p - m2) ** 2 for p in hour_wins)
+                s2 = math.sqrt(ss / (len(hour_wins) - 1)) if len(hour_wins) > 1 and ss > 1e-18 else 1.0
+                ctr2 = sum(k for p, k in last if p is not None) / len(hour_wins)
+                n1, n2 = 0.8 * rate, (1 - 0.8) * len(last)
+                if n1 + n2 > 1:
+                    m = (n1 * mu + n2 * m2) / (n1 + n2)
+                    ss = n1 * sigma**2 + n2 * s2**2 + n1 * (mu - m) ** 2 + n2 * (m2 - m) ** 2
+                    ctr = (n1 * ctr + n2 * ctr2) / (n1 + n2)
+                    rate, mu, sigma = n1 + n2, m, math.sqrt(ss / (n1 + n2 - 1))
+            current, hour, last = (rate, mu, sigma, ctr), this_hour, []
+            left = int((c["end_ts"] - now) // HOUR) + 1
+            future = []
+            for i in range(left):
+                at = now + i * HOUR
+                f = cells.get((at.weekday(), at.hour), DEFAULT)
+                future.append((f[0], *shape(f[1], f[2])))
+
+            def spend(level):
+                return sum(n * (cdf((math.log(level) - lo) / sc) if level > 0 else 0.0) for n, lo, sc in future) * spent / wins
+
+            usual = clicks / wins if wins and clicks else 8e-4
+            if wins and strategy == "LinearWithPacingPastCPM":
+                baseline = halve(baseline, 0.0, 310.0, spend, c["budget"] - spent, True, 20, tolerance)
+            if wins and strategy == "ShadedValueBidder":
+                mean = c["click_value"] * 0.3 * usual
+                shading = halve(shading, 0.0, 10.0, lambda x: spend(mean / (1 + x)), c["budget"] - spent, False, 20, tolerance)
+            if wins and strategy == "ORTB" and mode == "dual":
+                mu = sum(prices) / wins
+                ss = sum((p - mu) ** 2 for p in prices)
+                loc, scl = shape(mu, math.sqrt(ss / (wins - 1)) if wins > 1 and ss > 1e-18 else 1.0)
+                cap = min(310.0, c["budget"] - spent)
+                lam = halve(
+                    lam, 1e-10, 1e-3, lambda x: spend(ort_bid(usual, x, loc, scl, cap)) / left,
+                    (c["budget"] - spent) / left, False, 21, tolerance,
+                )
+            if strategy == "ORTB" and mode == "past_cpc" and clicks:
+                lam = clicks / spent
+        if decided.get("hour") != this_hour:
+            decided = {"hour": this_hour, "remaining": c["budget"] - spent}
+        ectr = min(r["ctr_prediction"] / c["ectr_factor"], 1.0) if r["ctr_prediction"] > 0 else 0.0
+        value = ectr * c["click_value"]
+        bid = {
+            "TrueValue": lambda: value,
+            "LinearBidder": lambda: baseline * ectr / current[3] if current[3] else 0.0,
+            "LinearWithPacingPastCPM": lambda: baseline * ectr / current[3] if current[3] else 0.0,
+            "ShadedValueBidder": lambda: value / (1 + shading),
+            "ORTB": lambda: ort_bid(ectr, lam, *shape(current[1], current[2]), min(310.0, decided["remaining"])),
+        }[strategy]()
+        bid = float(Decimal(repr(bid)).quantize(Decimal("0.01"), ROUND_HALF_UP))
+        if bid <= 0:
+            outcomes.append((r["bid_id"], "passed"))
+            last.append((None, 0))
+            continue
+        if bid < r["winning_price"]:
+            outcomes.append((r["bid_id"], "lost"))
+            last.append((None, 0))
+            continue
+        pay = r["winning_price"] if bid >= r["floor_price"] else bid
+        outcomes.append((r["bid_id"], "won"))
+        spent, wins, clicks = round(spent + pay, 6), wins + 1, clicks + r["is_click"]
+        prices.append(pay)
+        last.append((pay, int(r["is_click"])))
+        out = spent >= c["budget"]
+    return outcomes, {"spend": spent, "impressions": wins, "baseline": baseline, "shading": shading, "lambda": lam}
