@@ -63,7 +63,7 @@ def crossing_hours(campaigns: DataFrame, by_hour: DataFrame, lane: Sequence[str]
     """Hour in which each campaign runs out, from ``spend`` and number of wins ``n`` per lane and
     hour."""
     start = campaigns.select("campaign_id", *lane, "budget", F.lit(0).cast(TOTAL).alias("before"))
-    cells = by_hour.select(*lane, "hour_ts", "spend", "n")
+    cells = by_hour.filter("spend > 0").select(*lane, "hour_ts", "spend", "n")
     return crossing(start, cells, lane, [F.col("hour_ts")]).select(
         "campaign_id", *lane, "hour_ts", "budget", "before", "n"
     )

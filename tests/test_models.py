@@ -17,7 +17,7 @@ from bidlens.suite.model_queries import training_log
 def test_labels_by_frequency_then_name(spark):
     df = spark.createDataFrame([("b",), ("a",), ("c",), ("c",)], "x string")
     labels = labels_of(df, "x")
-    assert [(r.label, r.index) for r in labels.orderBy("index").collect()] == [("c", 0.0), ("a", 1.0), ("b", 2.0)]
+    assert [(r.label, r["index"]) for r in labels.orderBy("index").collect()] == [("c", 0.0), ("a", 1.0), ("b", 2.0)]
     new = spark.createDataFrame([("c",), ("z",), (None,)], "x string")
     assert sorted((r.x, r["index"]) for r in label_index(new, "x", labels, "keep").collect()) == [("NA", 3.0), ("NA", 3.0), ("c", 0.0)]
     assert label_index(new, "x", labels, "skip").count() == 1

@@ -51,7 +51,7 @@ def test_append_collects_runs(spark):
 
 def test_malformed_request_is_an_error(spark):
     path = fresh_path(spark, "bad")
-    spark.createDataFrame([("only,three,fields",)], "value string").write.text(path)
+    spark.createDataFrame([("header\nonly,three,fields",)], "value string").write.text(path)
     with pytest.raises(Exception):
         read_requests(spark, path).collect()
 
