@@ -9,6 +9,7 @@ must not be negative.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -69,6 +70,25 @@ def crossing_hours(campaigns: DataFrame, by_hour: DataFrame, lane: Sequence[str]
     )
 
 
+# More hours than this are not listed in a plan; the join on the cells then does the filtering.
+LISTED_HOURS = 1000
+
+
+def in_hours(rows: DataFrame, hours: DataFrame) -> DataFrame:
+    """Rows of the hours in a small table, as a list in the plan. Unlike a join it reaches the
+    scan: it prunes partitions, skips files by ``ts``, and goes before any bid is computed."""
+    listed = [r[0] for r in hours.select("hour_ts").distinct().limit(LISTED_HOURS + 1).collect()]
+    if not listed or len(listed) > LISTED_HOURS:
+        return rows
+
+    def at(hour: dt.datetime) -> Column:
+        return F.lit(hour).cast("timestamp_ntz")
+
+    until = max(listed) + dt.timedelta(hours=1)
+    in_range = (F.col("ts") >= at(min(listed))) & (F.col("ts") < at(until))
+    return rows.filter(in_range & F.col("hour_ts").isin([at(h) for h in listed]))
+
+
 def narrow(
     won: DataFrame,
     hours: DataFrame,
@@ -121,7 +141,7 @@ def budget_cuts(won: DataFrame, campaigns: DataFrame, lane: Sequence[str] = LANE
     won = with_hour(won)
     by_hour = materialize(won.groupBy(*lane, "hour_ts").agg(F.sum("pay").alias("spend"), F.count("*").alias("n")))
     hours = materialize(crossing_hours(campaigns, by_hour, lane))
-    return narrow(won, hours, lane, is_small(campaigns))
+    return narrow(in_hours(won, hours), hours, lane, is_small(campaigns))
 
 
 def within(ts: Column, bid_id: Column) -> Column:

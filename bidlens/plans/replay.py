@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from bidlens.functions.pricing import MONEY
 from bidlens.functions.timeparts import day_hour, format_ts
 from bidlens.operators.auction import outcome, route, with_auction, with_value
-from bidlens.operators.budget import LANE, budget_cuts, budget_gate, crossing_hours, narrow, with_hour, within
+from bidlens.operators.budget import LANE, budget_cuts, budget_gate, crossing_hours, in_hours, narrow, with_hour, within
 from bidlens.operators.kpis import COUNTERS, COUNTER_TYPES, count_requests
 from bidlens.operators.landscape import lognormal, with_landscape
 from bidlens.operators.strategies import bid_by_strategy
@@ -148,7 +148,8 @@ def campaign_counters(offered: DataFrame, campaigns: DataFrame) -> DataFrame:
     small = is_small(campaigns)
     by_hour = materialize(count_requests(offered, [*LANE, "hour_ts"]))
     hours = materialize(crossing_hours(campaigns, by_hour.withColumn("n", F.col("impressions"))))
-    cuts = narrow(offered.filter("won"), hours, LANE, small)
+    cut_hours = in_hours(offered, hours)
+    cuts = narrow(cut_hours.filter("won"), hours, LANE, small)
 
     ends = hours.select("campaign_id", F.col("hour_ts").alias("cut_hour"))
     per_hour = campaigns.join(ends, "campaign_id", "left").join(by_hour, LANE)
@@ -156,7 +157,7 @@ def campaign_counters(offered: DataFrame, campaigns: DataFrame) -> DataFrame:
         "seen", F.col("cut_hour").isNull() | (F.col("hour_ts") < F.col("cut_hour"))
     )
     cut = hours.select("campaign_id", *LANE, "hour_ts").join(cuts, "campaign_id")
-    edge = offered.join(F.broadcast(cut) if small else cut, [*LANE, "hour_ts"])
+    edge = cut_hours.join(F.broadcast(cut) if small else cut, [*LANE, "hour_ts"])
     edge = edge.withColumn("seen", within(F.col("ts"), F.col("bid_id")))
     parts = per_hour.select("campaign_id", "seen", *COUNTERS).unionByName(
         count_requests(edge, ["campaign_id", "seen"])
