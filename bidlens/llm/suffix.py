@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from bidlens.llm.common import add_columns, small_batches, stored, table, text_of
-from bidlens.session import BROADCAST_ROWS
 
 # Bytes of a repeated string, and of the k-gram that anchors it.
 LENGTH = 200
@@ -25,8 +24,6 @@ GRAM = 32
 CHUNK = 1 << 18
 # Segments sorted by one task, about; anchors with more kinds of segments go by windows instead.
 BUCKET = 20_000
-# List entries of a side that may be broadcast, besides the limit of rows.
-ENTRIES = 1_000_000
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _BYTES = np.random.default_rng(11).integers(0, 2**64 - 1, size=256, dtype=np.uint64)
@@ -250,12 +247,6 @@ def repeated_windows(segments: list[bytes], place: np.ndarray, windows: np.ndarr
     return out
 
 
-def _light(df: DataFrame, entries: str) -> DataFrame:
-    """``df`` hinted for broadcast if counted to have few rows and few list entries."""
-    n, size = df.agg(F.count("*"), F.coalesce(F.sum(F.size(entries)), F.lit(0))).first()
-    return F.broadcast(df) if n <= BROADCAST_ROWS and size <= ENTRIES else df
-
-
 def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist()))
@@ -284,7 +275,7 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds_)], names=shape.names)
 
-    copies = texts.join(_light(listed, "parts"), "key").select("text", "parts").mapInArrow(cut, shape)
+    copies = texts.join(listed, "key").select("text", "parts").mapInArrow(cut, shape)
     segments = stored(copies.groupBy("h", "sd").agg(*[F.first(c).alias(c) for c in ("kinds", "windows", "place", "bytes")]), "suffix-segments")
     few, many = segments.where(F.col("kinds") <= BUCKET), segments.where(F.col("kinds") > BUCKET)
     buckets = max(1, -(-few.count() // BUCKET))
@@ -346,7 +337,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
     keyed = held.withColumn("key", F.xxhash64("text", F.octet_length("text")))
     starts = repeated_starts(keyed.where(F.octet_length("text") >= length).select("key", "text"), length, gram)
     spans = stored(starts.distinct().groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "suffix-spans")
-    joined = keyed.join(_light(spans, "spans"), "key", "left").drop("key")
+    joined = keyed.join(spans, "key", "left").drop("key")
 
     def apply(texts, lists):
         sizes, removed, kept = [], [], []
