@@ -256,7 +256,8 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     """Starts of repeated strings in ``texts`` (key, text): (key, lo, hi), from ``lo`` to ``hi`` each."""
     small_batches(texts.sparkSession)
     every = stored(anchors(texts, length, gram), "suffix-anchors")
-    often = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # Stored, so that the join below has two exchanges of its own and a frequent anchor can be split.
+    often = stored(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "suffix-often")
     found = stored(every.join(often, "h"), "suffix-repeated")
     kinds = stored(found.groupBy("h", "sd").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "windows", "place")).alias("at")), "suffix-kinds")
     whole = found.join(kinds.where("n > 1").select("h", "sd"), ["h", "sd"]).select("key", F.col("start").alias("lo"), (F.col("start") + F.col("windows") - 1).alias("hi"))
