@@ -19,6 +19,8 @@ PERCENT = 85
 # A pair at 0.85 is missed with a chance of 2 * (1 - 0.85 ** 2) ** 7 = 0.0003.
 SIDE = 7
 HASHES = 2
+# Further leaders of a bucket that holds several components, and rounds of them.
+LEADERS, ROUNDS = 6, 2
 SEED = 20240501
 _LOWER = bytes(c + 32 if chr(c) in UPPER else c for c in range(256))
 
@@ -117,8 +119,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     one document: their links are united, and they are kept or not together. An empty table gives no rows.
 
     Equal sets are one node, so copies cost nothing further. In a bucket every node is verified against
-    the bucket's smallest one, its leader: that joins groups of near copies without listing their pairs.
-    Other pairs of a bucket are verified unless they are already in one component, or their distances to the
+    the bucket's smallest one, its leader, and where components stay apart against a few further leaders:
+    that joins groups of near copies without listing their pairs. Other pairs of a bucket are verified unless they are already in one component, or their distances to the
     leader differ by more than a link's greatest distance: the Jaccard distance is a metric, so they cannot link.
     """
     signed = stored(signatures(docs, side, hashes, words), "near-signatures")
@@ -128,7 +130,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
 
     keys = nodes.select("node", "size", F.posexplode("left").alias("i", "l"), "right").select("node", "size", "i", "l", F.posexplode("right").alias("j", "r"))
     keys = keys.select("node", "size", F.xxhash64("i", "l", "j", "r").alias("key"))
-    several = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    several = stored(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "near-several")
     rows = stored(keys.join(several, "key"), "near-buckets")
     leaders = rows.groupBy("key").agg(F.min("node").alias("a"))
     led = rows.join(leaders, "key").select("key", "a", F.col("node").alias("b"), "size")
@@ -143,16 +145,35 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     links = stored(links.toDF("a", "b"), "near-links")
     roots = connected(links, "near-components")
 
-    named = led.join(roots.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
-    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    def unsettled(roots: DataFrame) -> DataFrame:
+        """Rows of buckets that hold several components."""
+        named = led.join(roots.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+        mixed = stored(named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "near-mixed-keys")
+        return stored(named.join(mixed, "key"), "near-mixed")
+
+    # Further leaders join what one leader left apart, again without listing pairs.
+    checked, open_ = first, unsettled(roots)
+    for turn in range(ROUNDS):
+        if open_.isEmpty():
+            break
+        pick = [F.min(F.struct(F.xxhash64("b", F.lit(turn * LEADERS + i)), "b", "root")) for i in range(LEADERS)]
+        heads = open_.groupBy("key").agg(F.array_distinct(F.array(*pick)).alias("heads")).select("key", F.explode("heads").alias("head"))
+        met = open_.join(heads, "key").where("root <> head.root")
+        pairs = met.select(F.least("b", "head.b").alias("a"), F.greatest("b", "head.b").alias("b")).distinct()
+        found = _verified(stored(pairs.join(checked, ["a", "b"], "left_anti"), "near-pairs"), nodes, docs, words)
+        checked = checked.union(found)
+        links = stored(links.union(found.where(linked).select("a", "b")), "near-links")
+        roots = connected(links, "near-components")
+        open_ = unsettled(roots)
+
     far = 1 - percent / 100 + 1e-9
-    held = named.join(mixed, "key").join(first, ["a", "b"], "left")
+    held = open_.join(first, ["a", "b"], "left")
     distance = F.when(F.col("a") == F.col("b"), 0.0).otherwise(1 - F.col("common") / F.col("total"))
-    held = stored(held.select("key", "b", "root", "size", distance.alias("d"), (F.coalesce(linked, F.lit(True))).alias("near")).withColumn("cell", F.floor(F.col("d") / far)), "near-mixed")
+    held = stored(held.select("key", "b", "root", "size", distance.alias("d"), (F.coalesce(linked, F.lit(True))).alias("near")).withColumn("cell", F.floor(F.col("d") / far)), "near-distances")
     other = held.where("not near").select("key", F.col("b").alias("y"), F.col("root").alias("ry"), F.col("size").alias("sy"), F.col("d").alias("dy"), F.explode(F.array(*[F.col("cell") + i for i in (-1, 0, 1)])).alias("cell"))
     fits = (F.col("b") != F.col("y")) & (F.col("root") != F.col("ry")) & (F.abs(F.col("d") - F.col("dy")) <= far) & (100 * F.least("size", "sy") >= percent * F.greatest("size", "sy"))
     left = held.where("d > 0").join(other, ["key", "cell"]).where(fits)
-    pairs = stored(left.select(F.least("b", "y").alias("a"), F.greatest("b", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "near-pairs")
+    pairs = stored(left.select(F.least("b", "y").alias("a"), F.greatest("b", "y").alias("b")).distinct().join(checked, ["a", "b"], "left_anti"), "near-rest")
     if not pairs.isEmpty():
         more = _verified(pairs, nodes, docs, words).where(linked).select("a", "b")
         roots = connected(links.union(more), "near-components")
