@@ -16,11 +16,11 @@ from bidlens.session import broadcast_if_small
 WORDS = 5
 PERCENT = 85
 # Two collections of SIDE groups of HASHES minhashes give SIDE ** 2 table keys of 2 * HASHES minhashes each.
-# A pair at 0.85 is missed with a chance of 2 * (1 - 0.85 ** 2) ** 7 = 0.0003.
-SIDE = 7
-HASHES = 2
+# A pair at 0.85 is missed with a chance of 2 * (1 - 0.85 ** 3) ** 9 = 0.0004, one at 0.3 is met with 0.05.
+SIDE = 9
+HASHES = 3
 # Further leaders of a bucket that holds several components, and rounds of them.
-LEADERS, ROUNDS = 6, 2
+LEADERS, ROUNDS = 1, 3
 SEED = 20240501
 _LOWER = bytes(c + 32 if chr(c) in UPPER else c for c in range(256))
 
@@ -145,20 +145,27 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     links = stored(links.toDF("a", "b"), "near-links")
     roots = connected(links, "near-components")
 
+    far = 1 - percent / 100 + 1e-9
+    distance = F.when(F.col("a") == F.col("b"), 0.0).otherwise(1 - F.col("common") / F.col("total"))
+
+    def possible(d: str, size: str):
+        return (F.abs(F.col("d") - F.col(d)) <= far) & (100 * F.least("size", size) >= percent * F.greatest("size", size))
+
     def unsettled(roots: DataFrame) -> DataFrame:
-        """Rows of buckets that hold several components."""
+        """Rows of buckets that hold several components, with their distance ``d`` to the first leader."""
         named = led.join(roots.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
         mixed = stored(named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "near-mixed-keys")
-        return stored(named.join(mixed, "key"), "near-mixed")
+        known = named.join(mixed, "key").join(first, ["a", "b"], "left").withColumn("d", distance)
+        return stored(known.select("key", "a", "b", "size", "root", "d", F.coalesce(linked, F.lit(True)).alias("near")), "near-mixed")
 
     # Further leaders join what one leader left apart, again without listing pairs.
     checked, open_ = first, unsettled(roots)
     for turn in range(ROUNDS):
         if open_.isEmpty():
             break
-        pick = [F.min(F.struct(F.xxhash64("b", F.lit(turn * LEADERS + i)), "b", "root")) for i in range(LEADERS)]
+        pick = [F.min(F.struct(F.xxhash64("b", F.lit(turn * LEADERS + i)), "b", "root", "d", "size")) for i in range(LEADERS)]
         heads = open_.groupBy("key").agg(F.array_distinct(F.array(*pick)).alias("heads")).select("key", F.explode("heads").alias("head"))
-        met = open_.join(heads, "key").where("root <> head.root")
+        met = open_.join(heads, "key").where(F.expr("root <> head.root") & possible("head.d", "head.size"))
         pairs = met.select(F.least("b", "head.b").alias("a"), F.greatest("b", "head.b").alias("b")).distinct()
         found = _verified(stored(pairs.join(checked, ["a", "b"], "left_anti"), "near-pairs"), nodes, docs, words)
         checked = checked.union(found)
@@ -166,12 +173,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
         roots = connected(links, "near-components")
         open_ = unsettled(roots)
 
-    far = 1 - percent / 100 + 1e-9
-    held = open_.join(first, ["a", "b"], "left")
-    distance = F.when(F.col("a") == F.col("b"), 0.0).otherwise(1 - F.col("common") / F.col("total"))
-    held = stored(held.select("key", "b", "root", "size", distance.alias("d"), (F.coalesce(linked, F.lit(True))).alias("near")).withColumn("cell", F.floor(F.col("d") / far)), "near-distances")
+    held = open_.withColumn("cell", F.floor(F.col("d") / far))
     other = held.where("not near").select("key", F.col("b").alias("y"), F.col("root").alias("ry"), F.col("size").alias("sy"), F.col("d").alias("dy"), F.explode(F.array(*[F.col("cell") + i for i in (-1, 0, 1)])).alias("cell"))
-    fits = (F.col("b") != F.col("y")) & (F.col("root") != F.col("ry")) & (F.abs(F.col("d") - F.col("dy")) <= far) & (100 * F.least("size", "sy") >= percent * F.greatest("size", "sy"))
+    fits = (F.col("b") != F.col("y")) & (F.col("root") != F.col("ry")) & possible("dy", "sy")
     left = held.where("d > 0").join(other, ["key", "cell"]).where(fits)
     pairs = stored(left.select(F.least("b", "y").alias("a"), F.greatest("b", "y").alias("b")).distinct().join(checked, ["a", "b"], "left_anti"), "near-rest")
     if not pairs.isEmpty():
