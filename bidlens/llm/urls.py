@@ -118,7 +118,7 @@ def url_filter(pages: DataFrame, labelled: DataFrame, rules=None, reject: float
 
     ``labelled`` has (page_id, bad): the largest label of a page_id counts, null labels and ids do not.
     A fitting rule decides; else a page is blocked if its template's smoothed share of bad labels reaches
-    ``reject``, the prior being its host's share. Without labels all are allowed. A null url or one
+    ``reject``, the prior being its host's share. A template without labels is allowed. A null url or one
     without ``://`` has empty host and path, and is judged as the pages alike. Every row gives a row;
     further columns of ``pages`` are not used.
     """
@@ -127,7 +127,7 @@ def url_filter(pages: DataFrame, labelled: DataFrame, rules=None, reject: float
     parsed = pages.select("page_id", host.alias("host"), path.alias("path")).withColumns({"rule": rule, "said": verdict, "segs": segments(F.col("path"))})
     known = labelled.where("page_id is not null").groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad")).where("bad is not null")
     tree = template_tree(parsed.select("page_id", "host", "segs").join(known, "page_id", "left").select("host", "segs", "bad"))
-    judged = F.when(F.col("purity") >= reject, "block").otherwise("allow")
+    judged = F.when((F.col("purity") >= reject) & (F.col("n_labelled") > 0), "block").otherwise("allow")
     return parsed.join(tree, ["host", "segs"], "left").select(
         "page_id", "host", "path", "rule", F.coalesce("said", judged).alias("verdict"), "template", "purity", "n_labelled"
     )
