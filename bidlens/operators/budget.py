@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from bidlens.functions.pricing import TOTAL
 from bidlens.functions.timeparts import hour_start
-from bidlens.session import is_small, materialize
+from bidlens.session import broadcast_if_small, is_small, materialize
 
 # Campaigns that differ only in their budget share a lane: the same bids, so the same wins.
 LANE = ["advertiser", "strategy"]
@@ -70,16 +70,19 @@ def crossing_hours(campaigns: DataFrame, by_hour: DataFrame, lane: Sequence[str]
     )
 
 
-# More hours than this are not listed in a plan; the join on the cells then does the filtering.
+# More hours than this are not listed in a plan but joined.
 LISTED_HOURS = 1000
 
 
 def in_hours(rows: DataFrame, hours: DataFrame) -> DataFrame:
     """Rows of the hours in a small table, as a list in the plan. Unlike a join it reaches the
-    scan: it prunes partitions, skips files by ``ts``, and goes before any bid is computed."""
+    scan: it prunes partitions, skips files by ``ts``, and goes before any bid is computed. More than
+    ``LISTED_HOURS`` hours are joined; no hours give no rows."""
     listed = [r[0] for r in hours.select("hour_ts").distinct().limit(LISTED_HOURS + 1).collect()]
-    if not listed or len(listed) > LISTED_HOURS:
-        return rows
+    if not listed:
+        return rows.filter(F.lit(False))
+    if len(listed) > LISTED_HOURS:
+        return rows.join(broadcast_if_small(hours.select("hour_ts").distinct()), "hour_ts", "left_semi").select(*rows.columns)
 
     def at(hour: dt.datetime) -> Column:
         return F.lit(hour).cast("timestamp_ntz")

@@ -87,8 +87,8 @@ def hash_counts(df: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
 
 
 def labels_of(df: DataFrame, column: str) -> DataFrame:
-    """Labels by falling frequency, ties by name, with their index from 0."""
-    counts = df.groupBy(F.col(column).cast("string").alias("label")).count()
+    """Labels by falling frequency, ties by name, with their index from 0; null counts as ``NA``."""
+    counts = df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("NA")).alias("label")).count()
     # One window over distinct labels, which are already aggregated.
     rank = F.row_number().over(Window.orderBy(F.desc("count"), "label"))
     return counts.select("label", "count", (rank - 1).cast("double").alias("index"))
@@ -96,8 +96,14 @@ def labels_of(df: DataFrame, column: str) -> DataFrame:
 
 def label_index(df: DataFrame, column: str, labels: DataFrame, unseen: str = "error") -> DataFrame:
     """Index of every row's label. A label that is not listed is an error, is skipped, or is
-    rewritten to NA and given the last index (``keep``)."""
-    labels = broadcast_if_small(materialize(labels.select("label", "index")))
+    rewritten to NA and given the last index (``keep``, where a trained NA has the last index too)."""
+    labels = labels.select("label", "index")
+    if unseen == "keep":
+        missing = labels.filter("label = 'NA'").agg(F.max("index").alias("_missing"))
+        known = labels.filter("label <> 'NA'").join(F.broadcast(missing))
+        after = F.coalesce((F.col("index") > F.col("_missing")).cast("double"), F.lit(0.0))
+        labels = known.select("label", (F.col("index") - after).alias("index"))
+    labels = broadcast_if_small(materialize(labels))
     text = F.coalesce(F.col(column).cast("string"), F.lit("NA"))
     keyed = df.withColumn("_label", text)
     how = "inner" if unseen == "skip" else "left"

@@ -88,22 +88,29 @@ def cast_schema(df: DataFrame, types: Mapping[str, str] = TRAINING_TYPES) -> Dat
     return df.select([typed(c) for c in df.columns])
 
 
+def whole_number(code: Column) -> Column:
+    """A code read as text, ``3`` or ``3.0``; other text is null."""
+    return code.try_cast("double").try_cast("int")
+
+
 def map_codes(code: Column, names: Mapping[int, str]) -> Column:
-    """Name of a code from a fixed list; null stays null, a code not in the list is an error."""
+    """Name of a code from a fixed list; null and text that is no number stay null, a number not in the
+    list is an error."""
     listed = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    key = code.cast("int")
+    key = whole_number(code)
     unknown = F.raise_error(F.concat(F.lit("unknown code: "), key.cast("string")))
     return F.when(key.isNotNull(), F.coalesce(F.try_element_at(listed, key), unknown))
 
 
 def map_dictionary(df: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
-    """Replace a code column by its dictionary name; unlisted, null and ``unknown`` give ``NA``.
+    """Replace a code column by its dictionary name; unlisted, null, ``unknown`` and text that is no
+    number give ``NA``. A code listed twice has the last of its names by alphabet, and no row is doubled.
 
     No hint: the dictionary is read from a file, so the planner knows its size and broadcasts
     it below the session's threshold.
     """
-    names = dictionary.select(F.col("code").alias("_code"), F.col("name").alias("_name"))
-    joined = df.join(names, F.col(f"`{column}`").cast("int") == F.col("_code"), "left")
+    names = dictionary.groupBy(F.col("code").alias("_code")).agg(F.max("name").alias("_name"))
+    joined = df.join(names, whole_number(F.col(f"`{column}`")) == F.col("_code"), "left")
     name = F.coalesce(F.nullif(F.col("_name"), F.lit("unknown")), F.lit("NA"))
     return joined.withColumn(column, name).drop("_code", "_name")
 

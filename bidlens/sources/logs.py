@@ -12,9 +12,10 @@ from bidlens.sources.schemas import DICTIONARY, LANDSCAPE, REQUEST
 def read_log(spark: SparkSession, path: str | list[str], sep: str = ",", columns: list[str] | None = None) -> DataFrame:
     """Headered text log, every column a string, ``NA`` read as null; path may be a glob.
 
-    With ``columns`` (the header, in file order) no file is opened before the job runs.
+    With ``columns`` (the header, in file order) no file is opened before the job runs. A file with
+    another header is an error.
     """
-    reader = spark.read.option("header", True).option("nullValue", "NA").option("sep", sep)
+    reader = spark.read.option("header", True).option("nullValue", "NA").option("sep", sep).option("enforceSchema", False)
     if columns:
         reader = reader.schema(StructType([StructField(c, StringType()) for c in columns]))
     return reader.csv(path)
@@ -33,14 +34,17 @@ def read_requests(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_landscape(spark: SparkSession, path: str) -> DataFrame:
-    """A stored hourly landscape in the form the lookups use."""
-    stored = spark.read.schema(LANDSCAPE).option("header", True).option("nullValue", "NA").csv(path)
+    """A stored hourly landscape in the form the lookups use; a malformed row is an error."""
+    stored = spark.read.schema(LANDSCAPE).option("header", True).option("mode", "FAILFAST").option("nullValue", "NA").csv(path)
     return landscape_cells(stored)
 
 
 def landscape_cells(hourly: DataFrame) -> DataFrame:
-    """The seven lookup columns of an hourly landscape, weekday in upper case."""
-    return hourly.select(
+    """The seven lookup columns of an hourly landscape, weekday in upper case.
+
+    A cell listed twice counts once, with the least of its rows by value.
+    """
+    cells = hourly.select(
         F.col("Advertiser").alias("advertiser"),
         F.upper("Weekday").alias("weekday"),
         F.col("Hour").cast("int").alias("hour"),
@@ -49,11 +53,13 @@ def landscape_cells(hourly: DataFrame) -> DataFrame:
         F.col("sigmaPrice").alias("sigma"),
         F.col("CTR").alias("ctr"),
     )
+    one = cells.groupBy("advertiser", "weekday", "hour").agg(F.min(F.struct("rate", "mu", "sigma", "ctr")).alias("cell"))
+    return one.select("advertiser", "weekday", "hour", "cell.*")
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """Code and name, tab separated, no header."""
-    return spark.read.schema(DICTIONARY).option("sep", "\t").csv(path)
+    """Code and name, tab separated, no header; a malformed row is an error."""
+    return spark.read.schema(DICTIONARY).option("sep", "\t").option("mode", "FAILFAST").csv(path)
 
 
 def with_file_name(df: DataFrame) -> DataFrame:

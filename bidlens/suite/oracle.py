@@ -343,7 +343,7 @@ select bid_id, advertiser, weekday, hour, rate, {r("mu", "mu")}, {r("sigma", "si
     "landscape_lognormal": f"""with {BID_LOG}, {LANDSCAPE}
 select advertiser, weekday, hour, rate, {r("mu", "mu")}, {r("sigma", "sigma")}, {r("ctr", "ctr")},
   {r(LOCATION, "location")}, {r(SCALE, "scale")}, {r("mu", "cpm")}, {r("mu / nullif(ctr, 0)", "cpc")}
-from landscape where sigma is not null""",
+from landscape""",
     "win_probability": f"""with {BID_LOG}, {REQUESTS}, {LANDSCAPE}, found as (
   select r.bid_id, r.wp_prediction, {DEFAULTED}
   from requests r left join landscape l using (advertiser, weekday, hour)),

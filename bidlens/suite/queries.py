@@ -280,7 +280,7 @@ def landscape_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def landscape_lognormal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(lognormal(t.landscape(spark, sf_dir).filter("sigma is not null")))
+    return rounded(lognormal(t.landscape(spark, sf_dir)))
 
 
 def win_probability_query(spark: SparkSession, sf_dir: str) -> DataFrame:
