@@ -19,8 +19,9 @@ from bidlens.functions.pricing import TOTAL
 from bidlens.functions.timeparts import hour_start
 from bidlens.session import broadcast_if_small, is_small, materialize
 
-# Campaigns that differ only in their budget share a lane: the same bids, so the same wins.
-LANE = ["advertiser", "strategy"]
+# Campaigns that differ only in their budget share a lane: the same bids, so the same wins. The id of
+# a lane stands for everything that decides its bids.
+LANE = ["lane_id"]
 
 
 def tie(bid_id: Column) -> Column:
@@ -136,7 +137,9 @@ def narrow(
     return materialize(cuts) if store else cuts
 
 
-def budget_cuts(won: DataFrame, campaigns: DataFrame, lane: Sequence[str] = LANE) -> DataFrame:
+def budget_cuts(
+    won: DataFrame, campaigns: DataFrame, lane: Sequence[str] = LANE, sorted_wins: int = SORTED_WINS
+) -> DataFrame:
     """One row per campaign that runs out of budget: the win that exhausts it.
 
     The spend per hour is stored, so that finding the cut reads the log only in those hours.
@@ -144,7 +147,7 @@ def budget_cuts(won: DataFrame, campaigns: DataFrame, lane: Sequence[str] = LANE
     won = with_hour(won)
     by_hour = materialize(won.groupBy(*lane, "hour_ts").agg(F.sum("pay").alias("spend"), F.count("*").alias("n")))
     hours = materialize(crossing_hours(campaigns, by_hour, lane))
-    return narrow(in_hours(won, hours), hours, lane, is_small(campaigns))
+    return narrow(in_hours(won, hours), hours, lane, is_small(campaigns), sorted_wins)
 
 
 def within(ts: Column, bid_id: Column) -> Column:

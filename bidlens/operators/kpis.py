@@ -34,9 +34,9 @@ def count_requests(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(*[f().alias(name) for name, f in COUNTERS.items()])
 
 
-def campaign_kpis(counted: DataFrame) -> DataFrame:
+def campaign_kpis(counted: DataFrame, parameters: Sequence[str] = ()) -> DataFrame:
     """Key figures of campaigns from their counters, ``budget``, ``click_value`` and
-    ``actual_end_ts``. Ratios without a base are NULL."""
+    ``actual_end_ts``, after the ``parameters`` that tell runs apart. Ratios without a base are NULL."""
 
     def ratio(a: Column, b: Column) -> Column:
         return F.try_divide(a, b)
@@ -46,6 +46,7 @@ def campaign_kpis(counted: DataFrame) -> DataFrame:
     spent = c("spend").cast("double")
     value = clicks * c("click_value")
     return counted.select(
+        *parameters,
         c("budget_factor").alias("budgetFactor"),
         "advertiser",
         "strategy",

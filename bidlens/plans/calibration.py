@@ -35,13 +35,14 @@ AVERAGE_BID_SHARE = 0.3
 
 def with_future(df: DataFrame, landscape: DataFrame, now: str, end: str, keys: list[str]) -> DataFrame:
     """Add the cells of the hours from ``now`` to ``end``, in order. The length of the arrays is
-    the number of hours a campaign has left."""
+    the number of hours a campaign has left: none for a campaign past its end, which stays."""
     columns = dict.fromkeys([*keys, "advertiser", now, end])
     hours = lognormal(with_landscape(hour_spine(df.select(*columns), now, end), landscape))
     cell = F.struct("step_ts", "rate", "location", "scale")
     cells = hours.groupBy(*keys).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
-    arrays = {f"{name}s": F.col(f"cells.{name}") for name in ("rate", "location", "scale")}
-    return df.join(cells, keys).withColumns(arrays).drop("cells")
+    none = F.array().cast("array<double>")
+    arrays = {f"{name}s": F.coalesce(F.col(f"cells.{name}"), none) for name in ("rate", "location", "scale")}
+    return df.join(cells, keys, "left").withColumns(arrays).drop("cells")
 
 
 def win_probability_array(bid: np.ndarray, loc: np.ndarray, scl: np.ndarray) -> np.ndarray:
@@ -109,8 +110,10 @@ def usual_ctr(c: pd.DataFrame) -> np.ndarray:
 
 def after_wins(c: pd.DataFrame, tuned: np.ndarray, blind: np.ndarray, now: np.ndarray, compat: bool) -> np.ndarray:
     """A campaign without a win has no price per win. It keeps its parameter, or, with
-    ``compat_nan_tune``, makes the one step that an undefined spend leads to."""
-    return np.where(numbers(c, "impressions") > 0, tuned, blind if compat else now)
+    ``compat_nan_tune``, makes the one step that an undefined spend leads to. A campaign without
+    hours left keeps its parameter."""
+    changed = np.where(numbers(c, "impressions") > 0, tuned, blind if compat else now)
+    return np.where([len(r) > 0 for r in c["rates"]], changed, now)
 
 
 def tuned_baseline(c: pd.DataFrame, tolerance: float = LINEAR_TOLERANCE, compat_nan_tune: bool = False) -> np.ndarray:
@@ -138,7 +141,7 @@ def lambda_dual(c: pd.DataFrame, tolerance: float = LAMBDA_TOLERANCE, compat_nan
     """Lambda at which the bid for the usual click rate spends the budget evenly by hour. Needs
     ``won_mu`` and ``won_sigma``, the moments of the prices won so far."""
     now, spend = numbers(c, "lambda"), spend_function(c)
-    hours = np.array([len(r) for r in c["rates"]], float)
+    hours = np.maximum([len(r) for r in c["rates"]], 1).astype(float)
     wins, won_sigma = numbers(c, "impressions"), np.nan_to_num(numbers(c, "won_sigma"))
     sigma = np.where((wins < 2) | (won_sigma == 0), 1.0, won_sigma)
     mu = np.where(wins > 0, numbers(c, "won_mu"), 1.0)

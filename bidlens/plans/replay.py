@@ -11,7 +11,17 @@ from pyspark.sql import functions as F
 from bidlens.functions.pricing import MONEY
 from bidlens.functions.timeparts import day_hour, format_ts
 from bidlens.operators.auction import outcome, route, with_auction, with_value
-from bidlens.operators.budget import LANE, budget_cuts, budget_gate, crossing_hours, in_hours, narrow, with_hour, within
+from bidlens.operators.budget import (
+    LANE,
+    SORTED_WINS,
+    budget_cuts,
+    budget_gate,
+    crossing_hours,
+    in_hours,
+    narrow,
+    with_hour,
+    within,
+)
 from bidlens.operators.kpis import COUNTERS, COUNTER_TYPES, count_requests
 from bidlens.operators.landscape import lognormal, with_landscape
 from bidlens.operators.strategies import bid_by_strategy
@@ -21,7 +31,8 @@ from bidlens.session import broadcast_if_small, is_small, materialize
 BUDGET_FACTORS = [1, 0.5, 0.33, 0.25, 0.125, 0.1, 0.05, 0.01]
 
 LANE_COLUMNS = [
-    *LANE,
+    "advertiser",
+    "strategy",
     "click_value",
     "ectr_factor",
     "start_ts",
@@ -55,16 +66,21 @@ def campaign_table(
     shading: float = 0.0,
     lam: float = 5.2e-7,
 ) -> DataFrame:
-    """One campaign per advertiser, strategy and budget factor."""
+    """One campaign per advertiser, strategy and budget factor. Runs with other parameters can be
+    united: the id names the parameter that the strategy uses."""
     spark = advertisers.sparkSession
     runs = spark.createDataFrame(
         [(s, float(f)) for s in strategies for f in factors], "strategy string, budget_factor double"
     )
     level = F.col("click_value") * F.col("base_ctr")
     budget = (F.col("budget_factor") * F.col("full_budget")).cast(MONEY)
+    # NULL, and so no part of the id, where the strategy uses neither.
+    level_name = F.when(F.col("strategy") == "ShadedValueBidder", F.lit(str(float(shading)))).when(
+        F.col("strategy") == "ORTB", F.lit(str(float(lam)))
+    )
     no_budget = F.raise_error(F.lit("a campaign needs a positive budget")).cast(MONEY)
     return advertisers.crossJoin(F.broadcast(runs)).select(
-        F.concat_ws("_", "advertiser", F.col("budget_factor").cast("string"), "strategy").alias("campaign_id"),
+        F.concat_ws("_", "advertiser", F.col("budget_factor").cast("string"), "strategy", level_name).alias("campaign_id"),
         "advertiser",
         "strategy",
         "budget_factor",
@@ -80,9 +96,22 @@ def campaign_table(
     )
 
 
+def with_lane(campaigns: DataFrame) -> DataFrame:
+    """Name the lane of every campaign by a digest of all that decides its bids."""
+    return campaigns.withColumn("lane_id", F.md5(F.to_json(F.struct(*LANE_COLUMNS))))
+
+
 def lanes(campaigns: DataFrame) -> DataFrame:
     """Campaigns without their budgets: what decides the bids."""
-    return campaigns.select(*LANE_COLUMNS).distinct()
+    return with_lane(campaigns.select(*LANE_COLUMNS).distinct())
+
+
+def distinct_campaigns(campaigns: DataFrame) -> DataFrame:
+    """Campaigns with their lanes; an id that two of them share is an error."""
+    twice = campaigns.groupBy("campaign_id").count().filter("count > 1").first()
+    if twice:
+        raise ValueError(f"campaign_id is not unique: {twice.campaign_id}")
+    return with_lane(campaigns)
 
 
 def offers(requests: DataFrame, campaigns: DataFrame, landscape: DataFrame, strategies: Sequence[str]) -> DataFrame:
@@ -106,7 +135,7 @@ def offers(requests: DataFrame, campaigns: DataFrame, landscape: DataFrame, stra
 
 def gated_offers(offered: DataFrame, campaigns: DataFrame) -> DataFrame:
     """One row per request and campaign with what the campaign sees of it."""
-    small = is_small(campaigns)
+    campaigns, small = distinct_campaigns(campaigns), is_small(campaigns)
     cuts = budget_cuts(offered.filter("won"), campaigns)
     budgets = campaigns.select("campaign_id", *LANE, "budget_factor", "budget")
     fanned = offered.join(F.broadcast(budgets) if small else budgets, LANE)
@@ -114,10 +143,21 @@ def gated_offers(offered: DataFrame, campaigns: DataFrame) -> DataFrame:
 
 
 # Column names of the detailed event log, in its order.
-EVENT_COLUMNS = """
-    dataset budgetFactor campaign b_id timestamp privateValue eCTR eWP bid impression click
-    conversion payingPrice
-""".split()
+EVENT_COLUMNS = [
+    "dataset",
+    "budgetFactor",
+    "campaign",
+    "b_id",
+    "timestamp",
+    "privateValue",
+    "eCTR",
+    "eWP",
+    "bid",
+    "impression",
+    "click",
+    "conversion",
+    "payingPrice",
+]
 
 
 def bid_events(gated: DataFrame, dataset: str) -> DataFrame:
@@ -139,17 +179,17 @@ def bid_events(gated: DataFrame, dataset: str) -> DataFrame:
     )
 
 
-def campaign_counters(offered: DataFrame, campaigns: DataFrame) -> DataFrame:
+def campaign_counters(offered: DataFrame, campaigns: DataFrame, sorted_wins: int = SORTED_WINS) -> DataFrame:
     """Counters of every campaign up to its end, without a row per request and campaign.
 
     Hours are counted once per lane. Budgets then apply to the hourly counts, and only the
     hours in which a campaign runs out are read again.
     """
-    small = is_small(campaigns)
+    campaigns, small = distinct_campaigns(campaigns), is_small(campaigns)
     by_hour = materialize(count_requests(offered, [*LANE, "hour_ts"]))
     hours = materialize(crossing_hours(campaigns, by_hour.withColumn("n", F.col("impressions"))))
     cut_hours = in_hours(offered, hours)
-    cuts = narrow(cut_hours.filter("won"), hours, LANE, small)
+    cuts = narrow(cut_hours.filter("won"), hours, LANE, small, sorted_wins)
 
     ends = hours.select("campaign_id", F.col("hour_ts").alias("cut_hour"))
     per_hour = campaigns.join(ends, "campaign_id", "left").join(by_hour, LANE)

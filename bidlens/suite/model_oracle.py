@@ -22,13 +22,15 @@ SEGMENTS = f"""with {BID_LOG}, {CODED}, labels as (
 
 
 def running() -> str:
-    """Campaigns of the true value bidder with budget left, and their hours left as a list."""
+    """Campaigns of the true value bidder after ten hours, and their hours left as a list."""
     return f"""{replay(["TrueValue"], shading=0.5, lam=0.001)}, {WON}, totals as (
   select campaign_id, sum(pay)::double as spend, count(*) filter (won) as wins,
-    count(*) filter (won and is_click) as clicks from seen_rows group by 1),
+    count(*) filter (won and is_click) as clicks
+  from seen_rows where ts <= start_ts + interval 10 hour group by 1),
 going as (
-  select c.*, t.spend, t.wins, t.clicks, c.start_ts + interval 10 hour as now
-  from campaigns c join totals t using (campaign_id) where t.spend < c.budget),
+  select c.*, coalesce(t.spend, 0::double) as spend, coalesce(t.wins, 0) as wins, coalesce(t.clicks, 0) as clicks,
+    c.start_ts + interval 10 hour as now
+  from campaigns c left join totals t using (campaign_id)),
 left_hours as (select campaign_id, advertiser, unnest(generate_series(now, end_ts, interval 1 hour)) as step from going),
 left_cells as (
   select h.campaign_id, h.step, {DEFAULTED} from left_hours h left join landscape l
@@ -39,7 +41,7 @@ lists as (
 source as (
   select campaign_id, cells, spend / nullif(wins, 0) as cost, budget::double - spend as target, bid_level, shading, lam,
     click_value * {AVERAGE_BID_SHARE}::double * coalesce(nullif(clicks / nullif(wins, 0)::double, 0), 8e-4) as mean_bid,
-    case when clicks > 0 then clicks / spend else lam end as past_cpc
+    case when clicks > 0 and spend > 0 then clicks / spend else lam end as past_cpc
   from going join lists using (campaign_id))"""
 
 
@@ -55,7 +57,7 @@ def bisection(start: str, level: str, limits: tuple[float, float], rises: bool,
     select {columns}, i, low, high, (low + high) / 2 as x from (
       select {columns}, i, case when up then x else low end as low, case when up then high else x end as high from (
         select *, {'' if rises else 'not'} (spend < target) as up from steps
-        where i < {SPEND_STEPS} and (i = 0 or abs(spend - target) > {tolerance})))))
+        where i < {SPEND_STEPS} and cost is not null and (i = 0 or abs(spend - target) > {tolerance})))))
 )"""
 
 

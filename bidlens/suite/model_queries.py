@@ -135,11 +135,14 @@ TOLERANCE = {"LinearWithPacingPastCPM": 10.0, "ShadedValueBidder": 1.0, "ORTB":
 
 
 def running_campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Campaigns of the true value bidder at their last request within budget, with hours left."""
+    """All campaigns of the true value bidder ten hours after their start, with their totals until
+    then and the hours left."""
     won = F.col("won")
     price = F.when(won, F.col("pay").cast("double"))
+    now = F.col("start_ts") + F.expr("interval 10 hours")
     totals = (
         seen_requests(spark, sf_dir)
+        .filter(F.col("ts") <= now)
         .groupBy("campaign_id")
         .agg(
             F.sum("pay").alias("spend"),
@@ -150,7 +153,8 @@ def running_campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     camp = t.campaigns(spark, sf_dir, ["TrueValue"], shading=0.5, lam=0.001)
-    rows = camp.join(totals, "campaign_id").filter("spend < budget").withColumn("now", F.col("start_ts") + F.expr("interval 10 hours"))
+    counted = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("spend", "impressions", "clicks")}
+    rows = camp.join(totals, "campaign_id", "left").withColumns(counted | {"now": now})
     return with_future(materialize(rows), broadcast_if_small(t.landscape(spark, sf_dir)), "now", "end_ts", ["campaign_id"])
 
 

@@ -66,13 +66,15 @@ def r(expression: str, name: str) -> str:
     return f'floor(({expression}) * 1e6::double + 0.5001::double) / 1e6::double as "{name}"'
 
 
-def campaigns(strategies: list[str], shading: float = 0.0, lam: float = 5.2e-7) -> str:
-    runs = ", ".join(f"('{s}', {float(f)}::double)" for s in strategies for f in BUDGET_FACTORS)
+def campaigns(strategies: list[str], shading: float | list[float] = 0.0, lam: float = 5.2e-7) -> str:
+    levels = shading if isinstance(shading, list) else [shading]
+    runs = ", ".join(f"('{s}', {float(f)}::double, {x}::double)" for s in strategies for f in BUDGET_FACTORS for x in levels)
+    level = " || '_' || shading::varchar" if isinstance(shading, list) else ""
     return f"""campaigns as (
-  select advertiser || '_' || budget_factor::varchar || '_' || strategy as campaign_id, advertiser, strategy,
+  select advertiser || '_' || budget_factor::varchar || '_' || strategy{level} as campaign_id, advertiser, strategy,
     budget_factor, cast(budget_factor * full_budget as decimal(18,6)) as budget, click_value, ectr_factor,
-    start_ts, end_ts, click_value * base_ctr as bid_level, {shading}::double as shading, {lam}::double as lam
-  from advertisers, (values {runs}) f(strategy, budget_factor)),
+    start_ts, end_ts, click_value * base_ctr as bid_level, shading, {lam}::double as lam
+  from advertisers, (values {runs}) f(strategy, budget_factor, shading)),
 lanes as (select distinct advertiser, strategy, click_value, ectr_factor, start_ts, end_ts, bid_level, shading, lam
   from campaigns)"""
 
@@ -124,7 +126,7 @@ gate as (
   select o.*, c.campaign_id, c.budget, c.budget_factor,
     coalesce(sum(o.pay) over (partition by c.campaign_id order by o.ts, md5(o.bid_id::varchar), o.bid_id
       rows between unbounded preceding and 1 preceding), 0) < c.budget as seen
-  from offers o join campaigns c using (advertiser, strategy)),
+  from offers o join campaigns c using (advertiser, strategy, shading)),
 outcomes as (
   select *, case when not (open and seen) then 'missed' when not bidding then 'passed' when won then 'won'
       else 'lost' end as outcome
@@ -213,10 +215,10 @@ KPI_COLUMNS = f"""budget_factor as "budgetFactor", advertiser, strategy, start_t
   {r("(a_priori - spend::double) / nullif(spend::double, 0)", "aPrioriROI")}"""
 
 
-def kpis(strategies: list[str], prefix: str = "") -> str:
-    return f"""with {replay(strategies)},
+def kpis(strategies: list[str], prefix: str = "", **options) -> str:
+    return f"""with {replay(strategies, **options)},
 counted as (
-  select campaign_id, advertiser, strategy, budget_factor, budget, click_value, start_ts, end_ts, {COUNTERS}
+  select campaign_id, advertiser, strategy, shading, budget_factor, budget, click_value, start_ts, end_ts, {COUNTERS}
   from outcomes group by all)
 select {prefix} {KPI_COLUMNS} from counted"""
 
@@ -423,6 +425,7 @@ from outcomes where outcome in ('won', 'lost')""",
 select bid_id, layout from (select *, max(ts) over (partition by layout, advertiser order by position
   rows between unbounded preceding and 1 preceding) as latest from layouts) where ts < latest""",
     "campaign_kpis": kpis(["OriginalBidding", "ConstantAvgValue", "TrueValue", "RandomUpToTrueValue", "LinearBidder"]),
+    "campaign_kpis_sweep": kpis(["ShadedValueBidder"], "shading,", shading=[0.0, 0.3, 0.7]),
     "campaign_kpis_staged": kpis(["TrueValue"]),
     "kpi_append": "({}) union all by name ({})".format(
         kpis(["TrueValue"], "'2024-02-01' as sysdate, 'run 1' as dataset, strategy as biddertype,"),

@@ -53,7 +53,7 @@ from bidlens.operators.prep import (
 )
 from bidlens.operators.strategies import bid_of, round_bid, threshold, uniform
 from bidlens.plans.replay import bid_events, campaign_counters, gated_offers, lanes, offers
-from bidlens.session import broadcast_if_small, fresh_path, is_small
+from bidlens.session import broadcast_if_small, fresh_path, is_small, materialize
 from bidlens.sources.logs import (
     read_dictionary,
     read_landscape,
@@ -454,6 +454,15 @@ def campaign_kpis_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(kpis(spark, sf_dir))
 
 
+def campaign_kpis_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One strategy at three levels of its parameter, replayed together."""
+    names = ["ShadedValueBidder"]
+    runs = [t.campaigns(spark, sf_dir, names, shading=x) for x in (0.0, 0.3, 0.7)]
+    camp = materialize(runs[0].union(runs[1]).union(runs[2]))
+    rows = offers(t.requests(spark, sf_dir), camp, t.landscape(spark, sf_dir), names)
+    return rounded(campaign_kpis(campaign_counters(rows, camp), ["shading"]))
+
+
 def kpi_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs appended to one table."""
     path = fresh_path(spark, "kpis")
@@ -526,6 +535,7 @@ QUERIES = {
     "bid_event_log": bid_event_log,
     "out_of_order_requests": out_of_order_requests,
     "campaign_kpis": campaign_kpis_query,
+    "campaign_kpis_sweep": campaign_kpis_sweep,
     "campaign_kpis_staged": staged_gate,
     "kpi_append": kpi_append,
     "campaign_report_text": campaign_report_text,

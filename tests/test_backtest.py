@@ -89,3 +89,25 @@ def test_first_tuning_without_a_win(spark, fixture):
     for compat, expected in ((False, 0.0), (True, 9.0)):
         final, _ = backtest(nothing, camp, landscape, ["ShadedValueBidder"], compat_nan_tune=compat)
         assert all(r.shading >= expected if compat else r.shading == expected for r in final.collect())
+
+
+def test_campaign_past_its_end_keeps_its_parameter(spark):
+    from bidlens.plans.calibration import calibrate_linear, calibrate_ort, with_future
+
+    hour = dt.timedelta(hours=1)
+    now = dt.datetime(2024, 1, 22, 5)
+    cells = spark.createDataFrame(
+        [("a", "MONDAY", 5, 10.0, 50.0, 20.0, 0.1)],
+        "advertiser string, weekday string, hour int, rate double, mu double, sigma double, ctr double",
+    )
+    rows = [(name, "a", now, now + left, 100.0, 10.0, 2, 1, 100.0, 7.0, 0.5) for name, left in (("on", hour), ("over", -hour))]
+    camp = spark.createDataFrame(
+        rows,
+        "campaign_id string, advertiser string, now timestamp_ntz, end_ts timestamp_ntz, budget double, spend double, "
+        "impressions bigint, clicks bigint, click_value double, baseline double, lambda double",
+    )
+    left = with_future(camp.selectExpr("*", "50D won_mu", "20D won_sigma"), cells, "now", "end_ts", ["campaign_id"])
+    assert {r.campaign_id: len(r.rates) for r in left.collect()} == {"on": 2, "over": 0}
+    tuned = {r.campaign_id: r.baseline for r in calibrate_linear(left).collect()}
+    assert tuned["over"] == 7.0 and len(tuned) == 2
+    assert {r.campaign_id: r["lambda"] for r in calibrate_ort(left, "dual").collect()}["over"] == 0.5

@@ -29,8 +29,8 @@ def test_auction_boundaries(spark, bid, price, floor, won, pay):
 
 
 def wins(spark, rows):
-    schema = "advertiser string, strategy string, ts timestamp_ntz, bid_id bigint, pay decimal(18,6)"
-    return spark.createDataFrame([("a", "s", ts, i, pay) for ts, i, pay in rows], schema)
+    schema = "lane_id string, ts timestamp_ntz, bid_id bigint, pay decimal(18,6)"
+    return spark.createDataFrame([("a", ts, i, pay) for ts, i, pay in rows], schema)
 
 
 def brute(spark, rows, budget):
@@ -52,9 +52,9 @@ def test_cut_equals_sequential_sum_at_every_level(spark, sorted_wins):
     rows = [(T0 + dt.timedelta(seconds=37 * i % 9000, microseconds=i), i, D(i % 7 + 1)) for i in range(400)]
     rows += [(T0 + dt.timedelta(seconds=4000), 1000 + i, D(3)) for i in range(200)]
     budgets = {f"c{b}": D(b) for b in (1, 10, 500, 900, 1100, 1300, 1500, 99999)}
-    camp = spark.createDataFrame([(k, "a", "s", b) for k, b in budgets.items()], "campaign_id string, advertiser string, strategy string, budget decimal(18,6)")
+    camp = spark.createDataFrame([(k, "a", b) for k, b in budgets.items()], "campaign_id string, lane_id string, budget decimal(18,6)")
     won = with_hour(wins(spark, rows))
-    by_hour = won.groupBy("advertiser", "strategy", "hour_ts").agg(F.sum("pay").alias("spend"), F.count("*").alias("n"))
+    by_hour = won.groupBy("lane_id", "hour_ts").agg(F.sum("pay").alias("spend"), F.count("*").alias("n"))
     hours = materialize(crossing_hours(camp, by_hour))
     found = {r.campaign_id: (r.cut_bid, r.spent) for r in narrow(won, hours, sorted_wins=sorted_wins).collect()}
     expected = {k: brute(spark, rows, b) for k, b in budgets.items()}
@@ -65,9 +65,9 @@ def test_budget_hit_exactly_and_gate(spark):
     from decimal import Decimal as D
 
     rows = [(T0 + dt.timedelta(minutes=i), i, D(10)) for i in range(10)]
-    camp = spark.createDataFrame([("x", "a", "s", D(30)), ("y", "a", "s", D(31))], "campaign_id string, advertiser string, strategy string, budget decimal(18,6)")
+    camp = spark.createDataFrame([("x", "a", D(30)), ("y", "a", D(31))], "campaign_id string, lane_id string, budget decimal(18,6)")
     cuts = budget_cuts(wins(spark, rows), camp)
-    offered = wins(spark, rows).join(camp, ["advertiser", "strategy"])
+    offered = wins(spark, rows).join(camp, ["lane_id"])
     seen = budget_gate(offered, cuts).filter("seen").groupBy("campaign_id").count().collect()
     assert {r.campaign_id: r["count"] for r in seen} == {"x": 3, "y": 4}
 
@@ -91,6 +91,24 @@ def test_counters_equal_row_counts(replayed):
         assert c.spend < c.budget + 500
 
 
+def test_levels_of_one_strategy_do_not_mix(spark, data):
+    """A union of runs with other parameters counts what the runs count alone."""
+    name = ["ShadedValueBidder"]
+    runs = [t.campaigns(spark, data, name, factors=[1.0, 0.05], shading=s) for s in (0.0, 0.7)]
+    requests, cells = materialize(t.requests(spark, data)), t.landscape(spark, data)
+
+    def counted(camp, **options):
+        rows = campaign_counters(offers(requests, camp, cells, name), camp, **options)
+        return sorted((r.campaign_id, r.requests, r.impressions, r.missed, r.spend, r.cut_ts) for r in rows.collect())
+
+    together = materialize(runs[0].union(runs[1]))
+    alone = sorted(counted(runs[0]) + counted(runs[1]))
+    assert counted(together) == alone and len({r[2] for r in alone}) > 1
+    assert counted(together, sorted_wins=1) == alone
+    with pytest.raises(ValueError, match="not unique"):
+        counted(materialize(runs[0].union(runs[0])))
+
+
 def test_smaller_budget_never_wins_more(replayed):
     rows, camp = replayed
     kpis = campaign_kpis(campaign_counters(rows, camp)).collect()

@@ -8,7 +8,7 @@ from __spark_entry__ import oracle_sql, queries
 TABLES = ["region", "nation", "customer", "events"]
 CHECKED = """hourly_landscape landscape_lookup landscape_lognormal win_probability parse_timestamps adjacent_hours
     hour_spine campaign_status map_slot_codes bid_requests request_value bid_linear bid_ort bid_random
-    auction_outcome budget_gate campaign_kpis landscape_mix expected_spend calibrate_shading
+    auction_outcome budget_gate campaign_kpis campaign_kpis_sweep landscape_mix expected_spend calibrate_linear calibrate_shading calibrate_ort_past_cpc
     stream_hourly_landscape stream_auction_outcome label_index_unseen""".split()
 
 
