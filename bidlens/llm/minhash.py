@@ -19,8 +19,8 @@ PERCENT = 85
 # A pair at 0.85 is missed with a chance of 2 * (1 - 0.85 ** 3) ** 9 = 0.0004, one at 0.3 is met with 0.05.
 SIDE = 9
 HASHES = 3
-# Further leaders of a bucket that holds several components, and rounds of them.
-LEADERS, ROUNDS = 1, 3
+# Nodes and shingles of a block, about, where a group is compared block by block.
+BLOCK, BLOCK_SHINGLES = 256, 250_000
 SEED = 20240501
 _LOWER = bytes(c + 32 if chr(c) in UPPER else c for c in range(256))
 
@@ -77,10 +77,8 @@ def signatures(docs: DataFrame, side: int = SIDE, hashes: int = HASHES, words: i
     return add_columns(docs.select("doc_id", "text"), ["text"], outputs, make).drop("text")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """Pairs of nodes (a, b) with the sizes of intersection and union of their full sets: (a, b, common, total)."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    need = stored(nodes.join(ends, "node", "left_semi").select("node", "digest", F.col("first_id").alias("doc_id")), "near-need")
+def _full_sets(need: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """Full sets of the nodes ``need`` (node, digest, doc_id) as rows (node, shingles)."""
     texts = docs.select("doc_id", "text").join(broadcast_if_small(need), "doc_id")
 
     def sets(text):
@@ -90,7 +88,25 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -
     outputs = [StructField("shingles", BinaryType()), StructField("own", BinaryType())]
     full = add_columns(texts, ["text"], outputs, sets).where("own = digest").select("node", "shingles")
     # Repeated rows under one id have equal sets: one is enough.
-    full = stored(full.groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
+    return stored(full.groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
+
+
+def _own_shingles(full: DataFrame) -> DataFrame:
+    """How many shingles of each node are in no other node of ``full`` (node, shingles): (node, own)."""
+
+    def listed(batches):
+        for batch in batches:
+            sets = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("shingles")]
+            nodes = np.repeat(batch.column("node").to_numpy(), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else nodes), pa.array(nodes)], names=["shingle", "node"])
+
+    schema = StructType([StructField("shingle", LongType()), StructField("node", LongType())])
+    once = full.mapInArrow(listed, schema).groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
+    return once.groupBy("node").agg(F.count("*").alias("own"))
+
+
+def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """Pairs of nodes (a, b) with the sizes of intersection and union of their full sets: (a, b, common, total)."""
     joined = pairs.join(full.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     joined = joined.join(full.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "b", "sa", "sb")
 
@@ -110,6 +126,48 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -
     return stored(joined.mapInArrow(compare, schema), "near-verified")
 
 
+def _linked_in_blocks(rows: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components within each group ``a`` of ``rows`` (a, b, size, root, shared), on full sets.
+
+    A group is dealt as pairs of blocks of about ``BLOCK`` nodes and ``BLOCK_SHINGLES`` shingles; a task compares one pair of
+    blocks row by row and returns only the links that join components, at most one per component.
+    """
+    several = rows.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.sum("size").alias("shingles")).where("lo < hi")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    dealt = rows.join(several.select("a", blocks.alias("blocks")), "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("low"), F.greatest("block", o).alias("high")))
+    pairs = dealt.withColumn("pair", F.explode(every)).select("a", "b", "size", "root", "shared", "block", F.col("pair.low").alias("low"), F.col("pair.high").alias("high"))
+    held = pairs.join(full.withColumnRenamed("node", "b"), "b")
+
+    def compare(key, group):
+        node, size, root, shared, block = (group[c].to_numpy() for c in ("b", "size", "root", "shared", "block"))
+        root, found = root.copy(), []
+        right = np.nonzero(block == key[2].as_py())[0]
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in group["shingles"]]
+        # Shingles as numbers from 0, and those of the right block in one line.
+        names, at = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(size)
+        line = np.concatenate([at[ends[r] - size[r] : ends[r]] for r in right])
+        starts = np.concatenate([[0], np.cumsum(size[right])[:-1]])
+        marks = np.zeros(len(names), dtype=np.int32)
+        for i in np.nonzero(block == key[1].as_py())[0]:
+            most = np.minimum(shared[i], shared[right])
+            if not ((root[right] != root[i]) & (100 * most >= percent * (size[i] + size[right] - most))).any():
+                continue
+            mine = at[ends[i] - size[i] : ends[i]]
+            marks[mine] = 1
+            common = np.add.reduceat(marks[line], starts, dtype=np.int64)
+            marks[mine] = 0
+            for j in right[100 * common >= percent * (size[i] + size[right] - common)]:
+                if root[j] != root[i]:
+                    found.append((node[i], node[j]))
+                    root[root == root[j]] = root[i]
+        return pa.table([pa.array([f[c] for f in found], pa.int64()) for c in range(2)], names=["a", "b"])
+
+    schema = StructType([StructField("a", LongType()), StructField("b", LongType())])
+    return held.groupBy("a", "low", "high").applyInArrow(compare, schema)
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, side: int = SIDE, hashes: int = HASHES) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -119,9 +177,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     one document: their links are united, and they are kept or not together. An empty table gives no rows.
 
     Equal sets are one node, so copies cost nothing further. In a bucket every node is verified against
-    the bucket's smallest one, its leader, and where components stay apart against a few further leaders:
-    that joins groups of near copies without listing their pairs. Other pairs of a bucket are verified unless they are already in one component, or their distances to the
-    leader differ by more than a link's greatest distance: the Jaccard distance is a metric, so they cannot link.
+    the bucket's smallest one, its leader: that joins groups of near copies without listing their pairs.
+    Where components stay apart, the nodes of a leader's buckets are compared block by block inside tasks,
+    which list no pairs but the links that join components. Left out before are nodes too many of whose
+    shingles are in no other open node: no intersection with another one can be large enough.
     """
     signed = stored(signatures(docs, side, hashes, words), "near-signatures")
     usable = signed.where("doc_id is not null and n_shingles > 0")
@@ -134,7 +193,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     rows = stored(keys.join(several, "key"), "near-buckets")
     leaders = rows.groupBy("key").agg(F.min("node").alias("a"))
     led = rows.join(leaders, "key").select("key", "a", F.col("node").alias("b"), "size")
-    first = _verified(led.where("a <> b").select("a", "b").distinct(), nodes, docs, words)
+    met = rows.select("node").distinct()
+    full = _full_sets(stored(nodes.join(met, "node", "left_semi").select("node", "digest", F.col("first_id").alias("doc_id")), "near-need"), docs, words)
+    first = _verified(led.where("a <> b").select("a", "b").distinct(), full)
     linked = F.col("common") * 100 >= F.col("total") * percent
     links = first.where(linked).select("a", "b")
 
@@ -145,42 +206,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     links = stored(links.toDF("a", "b"), "near-links")
     roots = connected(links, "near-components")
 
-    far = 1 - percent / 100 + 1e-9
-    distance = F.when(F.col("a") == F.col("b"), 0.0).otherwise(1 - F.col("common") / F.col("total"))
-
-    def possible(d: str, size: str):
-        return (F.abs(F.col("d") - F.col(d)) <= far) & (100 * F.least("size", size) >= percent * F.greatest("size", size))
-
-    def unsettled(roots: DataFrame) -> DataFrame:
-        """Rows of buckets that hold several components, with their distance ``d`` to the first leader."""
-        named = led.join(roots.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
-        mixed = stored(named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "near-mixed-keys")
-        known = named.join(mixed, "key").join(first, ["a", "b"], "left").withColumn("d", distance)
-        return stored(known.select("key", "a", "b", "size", "root", "d", F.coalesce(linked, F.lit(True)).alias("near")), "near-mixed")
-
-    # Further leaders join what one leader left apart, again without listing pairs.
-    checked, open_ = first, unsettled(roots)
-    for turn in range(ROUNDS):
-        if open_.isEmpty():
-            break
-        pick = [F.min(F.struct(F.xxhash64("b", F.lit(turn * LEADERS + i)), "b", "root", "d", "size")) for i in range(LEADERS)]
-        heads = open_.groupBy("key").agg(F.array_distinct(F.array(*pick)).alias("heads")).select("key", F.explode("heads").alias("head"))
-        met = open_.join(heads, "key").where(F.expr("root <> head.root") & possible("head.d", "head.size"))
-        pairs = met.select(F.least("b", "head.b").alias("a"), F.greatest("b", "head.b").alias("b")).distinct()
-        found = _verified(stored(pairs.join(checked, ["a", "b"], "left_anti"), "near-pairs"), nodes, docs, words)
-        checked = checked.union(found)
-        links = stored(links.union(found.where(linked).select("a", "b")), "near-links")
-        roots = connected(links, "near-components")
-        open_ = unsettled(roots)
-
-    held = open_.withColumn("cell", F.floor(F.col("d") / far))
-    other = held.where("not near").select("key", F.col("b").alias("y"), F.col("root").alias("ry"), F.col("size").alias("sy"), F.col("d").alias("dy"), F.explode(F.array(*[F.col("cell") + i for i in (-1, 0, 1)])).alias("cell"))
-    fits = (F.col("b") != F.col("y")) & (F.col("root") != F.col("ry")) & possible("dy", "sy")
-    left = held.where("d > 0").join(other, ["key", "cell"]).where(fits)
-    pairs = stored(left.select(F.least("b", "y").alias("a"), F.greatest("b", "y").alias("b")).distinct().join(checked, ["a", "b"], "left_anti"), "near-rest")
-    if not pairs.isEmpty():
-        more = _verified(pairs, nodes, docs, words).where(linked).select("a", "b")
-        roots = connected(links.union(more), "near-components")
+    # Buckets that still hold several components, and of their rows those that can link with another one.
+    named = led.join(roots.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+    mixed = stored(named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("size").alias("least")).where("lo < hi").select("key", "least"), "near-mixed")
+    open_ = stored(named.join(mixed, "key").select("key", "a", "b", "size", "root", "least"), "near-open")
+    own = stored(_own_shingles(full.join(open_.select(F.col("b").alias("node")).distinct(), "node", "left_semi")), "near-own")
+    counted = open_.join(own.withColumnRenamed("node", "b"), "b", "left").withColumn("shared", F.col("size") - F.coalesce("own", F.lit(0)))
+    fits = 100 * F.col("shared") >= percent * (F.col("size") + F.greatest(F.col("least") - F.col("shared"), F.lit(0)))
+    able = stored(counted.where(fits).groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("size", "root", "shared")]), "near-able")
+    more = stored(_linked_in_blocks(able, full, percent), "near-more")
+    roots = connected(links.union(more), "near-components")
 
     rooted = stored(nodes.select("digest", "node", "first_id").join(roots, "node", "left").select("digest", "first_id", F.coalesce("root", "node").alias("root")), "near-roots")
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
