@@ -65,6 +65,24 @@ def test_minhash(docs, none):
     assert {r.doc_id for r in minhash.keep_one(docs).collect()} == {i for i, _ in sets if i is None or root[i] == i}
 
 
+def test_minhash_compares_groups_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    base = [f"w{i}" for i in range(120)]
+    # Copies with changed words: some link in chains, some with none; all share buckets.
+    texts = [" ".join(f"x{k % 7}" if i % 29 in range(k % 4) and i < 15 * (k % 9) else w for i, w in enumerate(base)) for k in range(60)]
+    sets = [set(minhash.shingle_set(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, side=20, hashes=2).collect()}
+    assert 1 < len(set(root)) < len(root)
+    assert got == dict(enumerate(root))
+
+
 def test_minhash_joins_a_group_without_a_common_leader(spark):
     base = sentence(7, 200).split()
     rows = [(i, " ".join(base[i * 5 :] + base[: i * 5])) for i in range(0, 8)] + [(i, " ".join(base[: 200 - 4 * (i - 20)])) for i in range(20, 40)]
