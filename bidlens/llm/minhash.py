@@ -142,7 +142,10 @@ def _linked_in_blocks(rows: DataFrame, full: DataFrame, percent: int) -> DataFra
     def compare(key, group):
         node, size, root, shared, block = (group[c].to_numpy() for c in ("b", "size", "root", "shared", "block"))
         root, found = root.copy(), []
-        right = np.nonzero(block == key[2].as_py())[0]
+        left, right = np.nonzero(block == key[1].as_py())[0], np.nonzero(block == key[2].as_py())[0]
+        if not (len(left) and len(right)):
+            # Few nodes with many shingles give about as many blocks as nodes, so some blocks have none.
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in group["shingles"]]
         # Shingles as numbers from 0, and those of the right block in one line.
         names, at = np.unique(np.concatenate(sets), return_inverse=True)
@@ -150,7 +153,7 @@ def _linked_in_blocks(rows: DataFrame, full: DataFrame, percent: int) -> DataFra
         line = np.concatenate([at[ends[r] - size[r] : ends[r]] for r in right])
         starts = np.concatenate([[0], np.cumsum(size[right])[:-1]])
         marks = np.zeros(len(names), dtype=np.int32)
-        for i in np.nonzero(block == key[1].as_py())[0]:
+        for i in left:
             most = np.minimum(shared[i], shared[right])
             if not ((root[right] != root[i]) & (100 * most >= percent * (size[i] + size[right] - most))).any():
                 continue

@@ -83,6 +83,16 @@ def test_minhash_compares_groups_in_blocks(spark, monkeypatch):
     assert got == dict(enumerate(root))
 
 
+def test_minhash_with_more_blocks_than_nodes(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 20)
+    # Groups of three nodes, dealt to 8 blocks: the first two share 48 of 52 shingles, the third has 30 others.
+    sets = {9 * g + k: np.arange(50 if k < 2 else 30, dtype=np.uint64) + np.uint64(1000 * g + (0, 2, 500)[k]) for g in range(1, 6) for k in range(3)}
+    rows = spark.createDataFrame([(n - n % 9, n, len(s), n, len(s)) for n, s in sets.items()], "a long, b long, size long, root long, shared long")
+    full = spark.createDataFrame([(n, bytearray(s.tobytes())) for n, s in sets.items()], "node long, shingles binary")
+    got = {tuple(sorted(r)) for r in minhash._linked_in_blocks(rows, full, 85).collect()}
+    assert got == {(9 * g, 9 * g + 1) for g in range(1, 6)}
+
+
 def test_minhash_joins_a_group_without_a_common_leader(spark):
     base = sentence(7, 200).split()
     rows = [(i, " ".join(base[i * 5 :] + base[: i * 5])) for i in range(0, 8)] + [(i, " ".join(base[: 200 - 4 * (i - 20)])) for i in range(20, 40)]
