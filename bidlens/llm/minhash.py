@@ -19,6 +19,8 @@ PERCENT = 85
 # A pair at 0.85 is missed with a chance of 2 * (1 - 0.85 ** 3) ** 9 = 0.0004, one at 0.3 is met with 0.05.
 SIDE = 9
 HASHES = 3
+# The pipeline's stage links from 0.8 on, where 9 groups would miss a pair with 0.003; with 12 the chance is 0.0004.
+STAGE_PERCENT, STAGE_SIDE = 80, 12
 # Nodes and shingles of a block, about, where a group is compared block by block.
 BLOCK, BLOCK_SHINGLES = 256, 250_000
 SEED = 20240501
@@ -237,6 +239,6 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose group has a document of smaller doc_id."""
-    gone = stored(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "near-gone")
+    """``docs`` without the documents whose group, linked from ``STAGE_PERCENT`` on, has a document of smaller doc_id."""
+    gone = stored(near_duplicates(docs, STAGE_PERCENT, side=STAGE_SIDE).where("not kept").select("doc_id").distinct(), "near-gone")
     return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)

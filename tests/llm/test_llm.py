@@ -105,6 +105,20 @@ def test_minhash_joins_a_group_without_a_common_leader(spark):
     assert got == root
 
 
+def test_pipeline_drops_near_copies_from_80_percent_on(spark):
+    rows = []
+    for k in range(20):
+        words = sentence(100 + k, 204).split()
+        # Four changed words leave 0.82 of the shingles in common, six leave 0.74.
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join("new" if i in (30, 70, 110, 150) else w for i, w in enumerate(words)))]
+        rows += [(10 * k + 2, " ".join("other" if i in range(20, 200, 30) else w for i, w in enumerate(words)))]
+    sets = {i: shingles(t) for i, t in rows}
+    share = {i: len(sets[i] & sets[i - i % 10]) / len(sets[i] | sets[i - i % 10]) for i in sets}
+    assert all(0.8 <= share[i] < 0.85 if i % 10 == 1 else share[i] < 0.8 for i in sets if i % 10)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in minhash.keep_one(docs).collect()} == {i for i in sets if i % 10 != 1}
+
+
 def test_connected_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     assert {r.node: r.root for r in common.connected(edges, "test").collect()} == {i: 0 for i in range(1, 41)} | {101: 100}
