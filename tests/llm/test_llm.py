@@ -185,6 +185,21 @@ def test_forest(spark):
     assert forest.embedding_near_dups(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def test_forest_links_a_large_group_of_near_vectors(spark):
+    rng = np.random.default_rng(8)
+    center = rng.standard_normal(64)
+    # 5,000 distinct vectors about one center, of whose pairs most are linked, and 3,000 without a group.
+    rows = np.vstack([center + 0.3 * rng.standard_normal((5000, 64)), rng.standard_normal((3000, 64))]).astype(np.float32)
+    unit = forest.unit(rows.astype(float))
+    near = unit @ unit.T >= 0.9
+    want = near.sum(axis=1) - 1
+    assert want.sum() > 0.5 * 5000**2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    got = np.array([r.n_links for r in sorted(forest.embedding_near_dups(df).select("vec_id", "n_links").collect())])
+    print("share of links", got.sum() / want.sum())
+    assert (got <= want + 1).all() and got.sum() >= 0.99 * want.sum()
+
+
 def test_topk(spark):
     rng = np.random.default_rng(6)
     rows = [(i, [float(x) for x in rng.standard_normal(8)]) for i in range(300)]
