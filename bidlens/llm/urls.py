@@ -20,8 +20,6 @@ RULES = [
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 ]
-# Levels of the tree; deeper segments count as one remainder.
-DEPTH = 4
 # A node with so many children is generalised: children with fewer pages than SUPPORT become a wildcard.
 VARIETY = 8
 SUPPORT = 8
@@ -69,7 +67,7 @@ def segments(path: Column) -> Column:
     return F.transform(parts, general)
 
 
-def template_tree(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
+def template_tree(pages: DataFrame) -> DataFrame:
     """Templates of distinct (host, segs): rows (host, segs, template, purity, n_labelled).
 
     ``pages`` has host, segs (array of segments) and bad (1, 0 or null where unlabelled). Level by level, a
@@ -83,11 +81,11 @@ def template_tree(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
     now = stored(every.withColumn("template", F.lit("")), "url-paths")
     total = now.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("labelled"), F.lit(0))).first()
     overall = (total[0] + 1.0) / (total[1] + 2.0)
-    for level in range(depth):
-        last = level == depth - 1
-        seg = F.get("segs", F.lit(level))
-        rest = F.when(F.size("segs") > level + 1, F.concat(seg, F.lit("/**"))).otherwise(seg) if last else seg
-        at = now.withColumn("seg", F.when(F.size("segs") > level, rest))
+    done = []
+    for level in range(now.agg(F.max(F.size("segs"))).first()[0] or 0):
+        # Paths without a further segment are set aside.
+        done.append(now.where(F.size("segs") <= level))
+        at = now.where(F.size("segs") > level).withColumn("seg", F.get("segs", F.lit(level)))
         child = at.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
         node = child.groupBy("host", "template").agg(F.count("*").alias("variety"))
         joined = child.join(node, ["host", "template"])
@@ -107,6 +105,7 @@ def template_tree(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
             "host", "segs", "n", "labelled", "bad", F.concat("template", F.when(F.col("step").isNotNull(), F.concat(F.lit("/"), "step")).otherwise("")).alias("template")
         )
         now = stored(now, f"url-level-{level}")
+    now = stored(reduce(DataFrame.unionByName, done, now), "url-templates")
     hosts = now.groupBy("host").agg(((F.sum("bad") + PRIOR * overall) / (F.sum("labelled") + PRIOR)).alias("prior"))
     leaf = now.groupBy("host", "template").agg(F.sum("bad").alias("b"), F.sum("labelled").alias("l")).join(hosts, "host")
     purity = leaf.select("host", "template", ((F.col("b") + PRIOR * F.col("prior")) / (F.col("l") + PRIOR)).alias("purity"), F.col("l").alias("n_labelled"))

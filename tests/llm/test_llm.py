@@ -303,3 +303,12 @@ def test_urls(spark):
     assert {i: (by[i].host, by[i].path, by[i].rule, by[i].verdict) for i in want} == want
     assert {by[100 + i].verdict for i in range(1, 40, 2)} == {"block"} and {by[100 + i].verdict for i in range(0, 40, 2)} == {"allow"}
     assert urls.url_filter(pages.where("false"), labelled).collect() == []
+
+
+def test_urls_part_at_level_six(spark):
+    rows = [(i, f"https://a.test/q/r/s/t/u/{'spam' if i % 2 else 'good'}/page") for i in range(40)] + [(40, "https://a.test/q/r/s/t/u/new/page")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labelled = spark.createDataFrame([(i, i % 2) for i in range(40)], "page_id long, bad int")
+    got = {r.page_id: r for r in urls.url_filter(pages, labelled, rules=[]).collect()}
+    assert all(got[i].verdict == ("block" if i % 2 else "allow") for i in range(40))
+    assert got[0].template != got[1].template and got[40].verdict == "allow"
