@@ -86,12 +86,14 @@ class Scanner:
         out = []
         for i, spans in self.regions(text).items():
             phrase, label, _ = self.notices[i]
-            for low, high in spans:
-                at = low
-                while (m := self.fuzzy[i].search(text, at, high)) and m.end() > m.start():
+            open_ = [tuple(s) for s in spans]
+            while open_:
+                low, high = open_.pop()
+                # The best match of a stretch; others may lie on both sides of it.
+                if (m := self.fuzzy[i].search(text, low, high)) and m.end() > m.start():
                     edits = sum(m.fuzzy_counts)
                     out.append((label, m.start(), m.end(), edits, 100 - 100 * edits // len(phrase)))
-                    at = m.end()
+                    open_ += [(low, m.start()), (m.end(), high)]
         return sorted(set(out), key=lambda m: m[1:])
 
 

@@ -235,6 +235,26 @@ def test_license_notices_equal_a_scan_without_seeds():
             assert (label in {m[0] for m in scan.matches(text)}) >= (plain is not None)
 
 
+def test_license_notices_close_together_are_all_found():
+    scan, rng = licenses.Scanner(licenses.NOTICES), np.random.default_rng(9)
+    assert [m[1:4] for m in scan.matches("all rightz reserved all rights reserved")] == [(0, 19, 1), (20, 39, 0)]
+
+    def plain(pattern, text, low, high):
+        m = pattern.search(text, low, high)
+        return [] if not m else [*plain(pattern, text, low, m.start()), (*m.span(), sum(m.fuzzy_counts)), *plain(pattern, text, m.end(), high)]
+
+    for phrase, label, k in licenses.NOTICES:
+        alone = licenses.Scanner([(phrase, label, k)])
+        for _ in range(5):
+            copies = [list(phrase) for _ in range(4)]
+            for c in copies:
+                for _ in range(rng.integers(0, 2)):
+                    c[rng.integers(2, len(phrase) - 2)] = "z"
+            text = "before " + " ".join(map("".join, copies)) + " after"
+            found = [m[1:4] for m in alone.matches(text)]
+            assert found == plain(regex.compile(f"(?b)(?:{regex.escape(phrase)}){{e<={k}}}"), text, 0, len(text)) and len(found) == 4
+
+
 def test_sharding(docs, none):
     names = [f"s{i}" for i in range(7)]
     table = sharding.lookup_table(names, 1009)
