@@ -35,9 +35,8 @@ class Mixture:
 
 
 def word_count(text: Column) -> Column:
-    """Stretches parted by spaces, tabs and line ends, counted by the separators; 0 for null and empty texts."""
-    gaps = F.length(text) - F.length(F.translate(text, " \t\n", ""))
-    return F.when(F.coalesce(F.length(text), F.lit(0)) > 0, gaps + 1).otherwise(0).cast("long")
+    """Words of the whole text: runs of other characters than spaces, tabs and a line's end characters; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t-\r]+")), F.lit(0)).cast("long")
 
 
 def _curves(sources: DataFrame, exponents: list[float]) -> list[tuple[float, float]]:

@@ -293,6 +293,12 @@ def test_mixing(spark, docs, none):
     assert mixing.repeated_by_weight(none).collect() == []
 
 
+def test_mixing_counts_words(spark):
+    rows = [(" " * 1000, 0), ("one  two", 2), ("\tone\n\n    two\r\nthree ", 3), ("a\x0bb\x0cc", 3), ("", 0), (None, 0), ("word", 1)]
+    got = spark.createDataFrame(rows, "text string, want long").select("want", mixing.word_count(F.col("text")).alias("n")).collect()
+    assert [r.n for r in got] == [r.want for r in got]
+
+
 def test_toxicity(spark, docs, none, data):
     table = common.table(spark, data, "documents").select("doc_id", "text")
     model = toxicity.train(table, common.table(spark, data, "labels"))
