@@ -79,6 +79,23 @@ def signatures(docs: DataFrame, side: int = SIDE, hashes: int = HASHES, words: i
     return add_columns(docs.select("doc_id", "text"), ["text"], outputs, make).drop("text")
 
 
+def shared_keys(nodes: DataFrame) -> DataFrame:
+    """Table keys that several of ``nodes`` (node, size, left, right) have, as rows (key, node, size).
+
+    A key pairs a hash of each collection, so nodes can only share it if they share both of its hashes.
+    Hashes of one node alone go first, and only the rest of the two collections is combined.
+    """
+    halves = [F.posexplode(F.concat("left", "right")).alias("at", "hash"), (F.size("left")).alias("side")]
+    each = nodes.select("node", "size", *halves).select("node", "size", F.xxhash64("at", "hash").alias("half"), (F.col("at") >= F.col("side")).cast("int").alias("side"))
+    each = stored(each, "near-halves")
+    often = each.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
+    own = [F.collect_list(F.when(F.col("side") == s, F.col("half"))).alias(c) for s, c in enumerate(("left", "right"))]
+    left = stored(each.join(often, "half").groupBy("node").agg(F.first("size").alias("size"), *own), "near-left")
+    pairs = left.select("node", "size", F.explode("left").alias("l"), "right").select("node", "size", "l", F.explode("right").alias("r"))
+    keys = stored(pairs.select("node", "size", F.xxhash64("l", "r").alias("key")), "near-keys")
+    return keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key")
+
+
 def _full_sets(need: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """Full sets of the nodes ``need`` (node, digest, doc_id) as rows (node, shingles)."""
     texts = docs.select("doc_id", "text").join(broadcast_if_small(need), "doc_id")
@@ -192,10 +209,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     grouped = usable.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("size"), F.first("left").alias("left"), F.first("right").alias("right"))
     nodes = stored(grouped.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
 
-    keys = nodes.select("node", "size", F.posexplode("left").alias("i", "l"), "right").select("node", "size", "i", "l", F.posexplode("right").alias("j", "r"))
-    keys = keys.select("node", "size", F.xxhash64("i", "l", "j", "r").alias("key"))
-    several = stored(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "near-several")
-    rows = stored(keys.join(several, "key"), "near-buckets")
+    rows = stored(shared_keys(nodes), "near-buckets")
     leaders = rows.groupBy("key").agg(F.min("node").alias("a"))
     led = rows.join(leaders, "key").select("key", "a", F.col("node").alias("b"), "size")
     met = rows.select("node").distinct()
