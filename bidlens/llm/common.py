@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,7 @@ from pyspark.sql.types import StructField, StructType
 from bidlens.session import fresh_path
 
 # Rows of one Arrow batch at most.
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -34,6 +36,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def trimmed(run: Callable) -> Callable:
+    """``run`` over Arrow batches, after which a worker that waits for its next task gives back the memory it no longer needs."""
+
+    @functools.wraps(run)
+    def wrapped(batches) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def add_columns(df: DataFrame, inputs: list[str], outputs: list[StructField], make: Callable) -> DataFrame:
     """Append columns computed by ``make(*arrow arrays) -> arrow arrays``; columns of the same name are replaced."""
     small_batches(df.sparkSession)
@@ -48,7 +66,7 @@ def add_columns(df: DataFrame, inputs: list[str], outputs: list[StructField], ma
             columns = batch.columns
             yield pa.RecordBatch.from_arrays([*columns[:n], *make(*columns[n:])], names=names)
 
-    return base.mapInArrow(run, StructType([*base.schema.fields[:n], *outputs]))
+    return base.mapInArrow(trimmed(run), StructType([*base.schema.fields[:n], *outputs]))
 
 
 def connected(edges: DataFrame, name: str) -> DataFrame:

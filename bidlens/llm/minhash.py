@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from bidlens.llm.common import UPPER, add_columns, connected, stored, table, text_of
+from bidlens.llm.common import UPPER, add_columns, connected, stored, table, text_of, trimmed
 from bidlens.session import broadcast_if_small
 
 # Words of a shingle, and the least similarity of a link in percent.
@@ -120,7 +120,7 @@ def _own_shingles(full: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else nodes), pa.array(nodes)], names=["shingle", "node"])
 
     schema = StructType([StructField("shingle", LongType()), StructField("node", LongType())])
-    once = full.mapInArrow(listed, schema).groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
+    once = full.mapInArrow(trimmed(listed), schema).groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
     return once.groupBy("node").agg(F.count("*").alias("own"))
 
 
@@ -142,7 +142,7 @@ def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "common", "total"])
 
     schema = StructType([StructField(c, LongType()) for c in ("a", "b", "common", "total")])
-    return stored(joined.mapInArrow(compare, schema), "near-verified")
+    return stored(joined.mapInArrow(trimmed(compare), schema), "near-verified")
 
 
 def _linked_in_blocks(rows: DataFrame, full: DataFrame, percent: int) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from bidlens.llm.common import add_columns, small_batches, stored, table, text_of
+from bidlens.llm.common import add_columns, small_batches, stored, table, text_of, trimmed
 
 # Bytes of a repeated string, and of the k-gram that anchors it.
 LENGTH = 200
@@ -144,7 +144,7 @@ def anchors(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
                 columns = [value.view(np.int64), sd.view(np.int64), keys[number], first - begin + offset, (last - first + 1).astype(np.int32), (place - first).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, _, t) in zip(columns, ANCHOR)], names=[c for c, _, _ in ANCHOR])
 
-    return texts.select("key", "text").mapInArrow(run, StructType([StructField(c, t) for c, t, _ in ANCHOR]))
+    return texts.select("key", "text").mapInArrow(trimmed(run), StructType([StructField(c, t) for c, t, _ in ANCHOR]))
 
 
 class Suffixes:
@@ -276,7 +276,7 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds_)], names=shape.names)
 
-    copies = texts.join(listed, "key").select("text", "parts").mapInArrow(cut, shape)
+    copies = texts.join(listed, "key").select("text", "parts").mapInArrow(trimmed(cut), shape)
     segments = stored(copies.groupBy("h", "sd").agg(*[F.first(c).alias(c) for c in ("kinds", "windows", "place", "bytes")]), "suffix-segments")
     few, many = segments.where(F.col("kinds") <= BUCKET), segments.where(F.col("kinds") > BUCKET)
     buckets = max(1, -(-few.count() // BUCKET))
@@ -303,7 +303,7 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             ]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["h", "sd", "from", "digest"])
 
-    single = many.mapInArrow(windows_of, StructType([*result.fields[:3], StructField("digest", BinaryType())]))
+    single = many.mapInArrow(trimmed(windows_of), StructType([*result.fields[:3], StructField("digest", BinaryType())]))
     common = single.groupBy("h", "digest").agg(F.count("*").alias("n")).where("n > 1").select("h", "digest")
     rest = single.join(common, ["h", "digest"]).select("h", "sd", "from", F.col("from").alias("to"))
     matched = stored(parts.union(rest), "suffix-matches")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from bidlens.llm.common import add_columns, small_batches, stored, table
+from bidlens.llm.common import add_columns, small_batches, stored, table, trimmed
 from bidlens.session import broadcast_if_small
 
 # Labelled rows to learn from, at most about (an even share of them by hash of the id).
@@ -136,7 +136,7 @@ def _counted(texts: DataFrame, wanted: set | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
 
     schema = StructType([StructField("term", StringType()), StructField("n", LongType())])
-    return texts.select("text").mapInArrow(count, schema).groupBy("term").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(trimmed(count), schema).groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, float]:
