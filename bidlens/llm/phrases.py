@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from bidlens.llm.common import UPPER, small_batches, stored, table, text_of
+from bidlens.llm.common import UPPER, small_batches, stored, table, text_of, trimmed
 
 # Contract of the query: words of a phrase, occurrences, share of a longer phrase that makes a part redundant, rows of a language.
 DEPTH, LEAST, INSIDE, BEST = 3, 10, 50, 2000
 UNNAMED = "und"
 # Words of a shard, about; a shard is what one index covers and bounds the memory of a task.
-SHARD_WORDS = 500_000
+SHARD_WORDS = 1_000_000
 # Bytes of a text handed to a shard at once; a longer text is cut where a piece ends.
 PART_BYTES = 1 << 20
+# Bits of the map of frequent phrases that a longer phrase's parts are looked up in: two MB at any size of the table.
+MAP_BITS = 24
 # Rows of one batch that a shard returns.
 OUT_ROWS = 100_000
 # Parts of a language that are ranked on their own before the last ranking.
@@ -67,12 +72,15 @@ class WordIndex:
         return owner, symbol, self.step[at[by[first]]], size, before
 
 
-def enumerated(ids: np.ndarray, symbols: int, depth: int = DEPTH):
+def enumerated(ids: np.ndarray, symbols: int, depth: int = DEPTH, frequent: Mapping[int, Callable] | None = None):
     """Every phrase of 1 to ``depth`` words of ``ids`` (0 between pieces): (words as a matrix, occurrences, those with a word before, those with a word after).
 
     A phrase keeps its interval in the index of the text and of the reversed text. Extending it to the right is a
     step in the reversed index, and the extensions smaller than the new word move the other interval along.
+    ``frequent`` has tests for phrases of a length (a matrix of words in, a mask out): a phrase that fails is not
+    extended, and one whose last words fail is left out.
     """
+    frequent = frequent or {}
     there, back = WordIndex(ids, symbols, depth), WordIndex(ids[::-1], symbols, depth)
     n = np.bincount(ids, minlength=symbols)
     found = np.nonzero(n)[0]
@@ -80,12 +88,46 @@ def enumerated(ids: np.ndarray, symbols: int, depth: int = DEPTH):
     words, n, low, low_back = found[:, None], n[found], there.starts[found], back.starts[found]
     for length in range(1, depth + 1):
         yield words, n, there.neighbours(low, n), back.neighbours(low_back, n)
-        if length < depth:
-            owner, symbol, step, size, before = back.extended(low_back, n, symbols)
-            real = symbol > 0
-            owner, symbol, low_back, n = owner[real], symbol[real], step[real], size[real]
-            low = low[owner] + before[real]
-            words = np.concatenate([words[owner], symbol[:, None]], axis=1)
+        if length == depth:
+            break
+        if length in frequent:
+            fits = frequent[length](words)
+            words, n, low, low_back = words[fits], n[fits], low[fits], low_back[fits]
+        owner, symbol, step, size, before = back.extended(low_back, n, symbols)
+        real = symbol > 0
+        if length in frequent:
+            real[real] = frequent[length](np.concatenate([words[owner[real], 1:], symbol[real][:, None]], axis=1))
+        owner, symbol, low_back, n = owner[real], symbol[real], step[real], size[real]
+        low = low[owner] + before[real]
+        words = np.concatenate([words[owner], symbol[:, None]], axis=1)
+
+
+def phrase_hashes(words: np.ndarray) -> np.ndarray:
+    """Hashes of phrases, given those of their words (a column per word), which do not depend on the shard."""
+    out = np.zeros(len(words), np.uint64)
+    for i in range(words.shape[1]):
+        out = (out ^ words[:, i]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def frequent_map(totals: DataFrame, size: int, bits: int = MAP_BITS) -> np.ndarray:
+    """The frequent phrases of ``size`` words as a map of 2 ** ``bits`` bits, put together from words of 64 bits."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [t.split(b" ") for t in (text_of(x.as_py()) for x in batch.column("phrase"))]
+            hashes = np.array([[xxhash.xxh3_64_intdigest(w) for w in t] for t in texts], np.uint64).reshape(len(texts), size)
+            at = (phrase_hashes(hashes) >> np.uint64(64 - bits)).astype(np.int64)
+            bit = np.uint64(1) << (at % 64).astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(at // 64), pa.array(bit.view(np.int64))], names=["place", "bit"])
+
+    schema = StructType([StructField("place", LongType()), StructField("bit", LongType())])
+    cells = totals.where(F.col("size") == size).select("phrase").mapInArrow(run, schema).groupBy("place").agg(F.bit_or("bit").alias("bit"))
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    for r in cells.collect():
+        out[r["place"]] = np.uint64(r["bit"] % 2**64)
+    return out
 
 
 def piece_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
@@ -120,22 +162,40 @@ def _parts(text: bytes, size: int):
     yield text
 
 
-def counted_phrases(docs: DataFrame, depth: int = DEPTH, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """Phrases of ``docs`` (lang, text) by shard: (lang, size, phrase, n, before, after); ``size`` 0 is the number of words.
+def counted_phrases(docs: DataFrame, first: int = 1, depth: int = DEPTH, shard_words: int = SHARD_WORDS, maps: Mapping[int, np.ndarray] | None = None) -> DataFrame:
+    """Phrases of ``first`` to ``depth`` words of ``docs`` (lang, text) by shard: (lang, size, phrase, n, before, after).
 
-    ``before`` and ``after`` count occurrences with a word of the same piece to the left and right. A shard is a stretch
-    of one partition's texts, so no text is shuffled and no language goes to one task. Sum over shards for totals.
+    ``before`` and ``after`` count occurrences with a word of the same piece to the left and right; the row of ``size`` 0 is the
+    number of words. A shard is a stretch of one partition's texts, so no text is shuffled and no language goes to one task.
+    Sum over shards for totals. With ``maps`` of frequent phrases, longer ones with a part in none are left out.
     """
     small_batches(docs.sparkSession)
     names = ["lang", "size", "phrase", "n", "before", "after"]
+    shared = docs.sparkSession.sparkContext.broadcast(dict(maps or {}))
 
     def rows(lang, texts):
         words, ids = piece_words(texts)
         total = int((ids > 0).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int64()), pa.array([""]), *[pa.array([total], pa.int64())] * 3], names=names)
+        if first == 1:
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int64()), pa.array([""]), *[pa.array([total], pa.int64())] * 3], names=names)
         if not total:
             return
-        for found, n, before, after in enumerated(ids, len(words) + 1, depth):
+        known = shared.value
+        hashes = np.array([0, *(xxhash.xxh3_64_intdigest(w) for w in words.to_pylist())], np.uint64) if known else None
+
+        def test(bitmap):
+            shift = np.uint64(64 - 6 - int(len(bitmap)).bit_length() + 1)
+
+            def fits(found):
+                at = phrase_hashes(hashes[found]) >> shift
+                return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+            return fits
+
+        tests = {size: test(bitmap) for size, bitmap in known.items()}
+        for found, n, before, after in enumerated(ids, len(words) + 1, depth, tests):
+            if found.shape[1] < first:
+                continue
             for at in range(0, len(n), OUT_ROWS):
                 cut = slice(at, at + OUT_ROWS)
                 columns = [words.take(pa.array(found[cut, i] - 1)) for i in range(found.shape[1])]
@@ -161,15 +221,28 @@ def counted_phrases(docs: DataFrame, depth: int = DEPTH, shard_words: int = SHAR
 
     kinds = [StringType(), LongType(), StringType(), LongType(), LongType(), LongType()]
     schema = StructType([StructField(n, k) for n, k in zip(names, kinds)])
-    return docs.select(F.coalesce("lang", F.lit(UNNAMED)).alias("lang"), "text").mapInArrow(run, schema)
+    return docs.select(F.coalesce("lang", F.lit(UNNAMED)).alias("lang"), "text").mapInArrow(trimmed(run), schema)
 
 
 def phrase_totals(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """Phrases with at least ``least`` occurrences over all shards, and each language's number of words as the phrase of size 0."""
-    shards = counted_phrases(docs, depth, shard_words)
-    # A shard has counted its phrases, so rows go straight to where they are summed.
-    dealt = shards.repartition("lang", "size", "phrase")
-    return dealt.groupBy("lang", "size", "phrase").agg(*[F.sum(c).alias(c) for c in ("n", "before", "after")]).where((F.col("n") >= least) | (F.col("size") == 0))
+    """Phrases with at least ``least`` occurrences over all shards, and each language's number of words as the phrase of size 0.
+
+    Words and pairs are counted in one pass over the texts, each longer size in a pass of its own. A phrase is at most as
+    frequent as its parts, so a pass leaves out phrases with a part that is not in the map of those found frequent before; the
+    map may hold others by chance, and what it lets through is counted, so no frequent phrase is lost and none is added.
+    """
+
+    def summed(first, last, maps):
+        shards = counted_phrases(docs, first, last, shard_words, maps)
+        # A shard has counted its phrases, so rows go straight to where they are summed.
+        sums = shards.repartition("lang", "size", "phrase").groupBy("lang", "size", "phrase").agg(*[F.sum(c).alias(c) for c in ("n", "before", "after")])
+        return stored(sums.where((F.col("n") >= least) | (F.col("size") == 0)), "phrase-totals")
+
+    totals, maps = summed(1, min(2, depth), None), {}
+    for size in range(3, depth + 1):
+        maps[size - 1] = frequent_map(totals, size - 1)
+        totals = totals.union(summed(size, size, maps))
+    return totals
 
 
 def collocations(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, inside: int = INSIDE, best: int = BEST) -> DataFrame:
@@ -181,7 +254,7 @@ def collocations(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, inside
     language is ``und``, repeated rows count again, texts without words and empty tables give no phrases; ties of score and
     occurrences go by the phrase's bytes. Other columns are not read.
     """
-    totals = stored(phrase_totals(docs, depth, least), "phrase-totals")
+    totals = phrase_totals(docs, depth, least)
     all_words = totals.where("size = 0").select("lang", F.col("n").alias("all_words"))
     words = F.split("phrase", " ", -1)
     found = totals.where("size >= 2").withColumn("words", words)
