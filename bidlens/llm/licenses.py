@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
+
 import ahocorasick
 import pyarrow as pa
 import regex
@@ -65,35 +68,49 @@ class Scanner:
             self.seeds.add_word(part, (len(part), where))
         self.seeds.make_automaton()
 
-    def regions(self, text: str) -> dict[int, list[list[int]]]:
-        """Stretches around seeds in which a match may lie, merged, by notice."""
+    def windows(self, text: str) -> dict[int, set[tuple[int, int]]]:
+        """Where a match around each seed may lie, by notice; a window is as long as its notice and the edits on both sides."""
         found: dict = {}
         for end, (n, where) in self.seeds.iter(text):
             for i, offset in where:
                 phrase, _, k = self.notices[i]
                 start = end + 1 - n - offset
-                low, high = max(0, start - k), min(len(text), start + len(phrase) + k)
-                spans = found.setdefault(i, [])
-                if spans and low <= spans[-1][1]:
-                    spans[-1][1] = max(high, spans[-1][1])
-                    spans[-1][0] = min(low, spans[-1][0])
-                else:
-                    spans.append([low, high])
+                found.setdefault(i, set()).add((max(0, start - k), min(len(text), start + len(phrase) + k)))
         return found
 
     def matches(self, text: str) -> list[tuple[str, int, int, int, int]]:
-        """(label, start, end, edits, percent of characters kept), in order of place."""
+        """(label, start, end, edits, percent of characters kept), in order of place.
+
+        Of the matches of a notice the one with the fewest edits, and of these the first, is taken; then the best of what
+        lies on both sides of it, and so on. Only windows are searched, so the work is in proportion to the seeds.
+        """
         out = []
-        for i, spans in self.regions(text).items():
+        for i, windows in self.windows(text).items():
             phrase, label, _ = self.notices[i]
-            open_ = [tuple(s) for s in spans]
-            while open_:
-                low, high = open_.pop()
-                # The best match of a stretch; others may lie on both sides of it.
-                if (m := self.fuzzy[i].search(text, low, high)) and m.end() > m.start():
-                    edits = sum(m.fuzzy_counts)
-                    out.append((label, m.start(), m.end(), edits, 100 - 100 * edits // len(phrase)))
-                    open_ += [(low, m.start()), (m.end(), high)]
+            found: list = []
+
+            def look(low: int, high: int, i: int = i, found: list = found) -> None:
+                if low < high and (m := self.fuzzy[i].search(text, low, high)) and m.end() > m.start():
+                    heapq.heappush(found, (sum(m.fuzzy_counts), m.start(), m.end(), low, high))
+
+            for window in sorted(windows):
+                look(*window)
+            starts: list[int] = []
+            ends: list[int] = []
+            while found:
+                edits, start, end, low, high = heapq.heappop(found)
+                first, last = bisect.bisect_right(ends, low), bisect.bisect_left(starts, high)
+                taken = list(zip(starts[first:last], ends[first:last]))
+                if not any(s < end and start < e for s, e in taken):
+                    at = bisect.bisect_left(starts, start)
+                    starts.insert(at, start)
+                    ends.insert(at, end)
+                    out.append((label, start, end, edits, 100 - 100 * edits // len(phrase)))
+                    taken = sorted([*taken, (start, end)])
+                # Others may lie in the gaps that are left of the window.
+                edges = [low, *(x for span in taken for x in span), high]
+                for a, b in zip(edges[::2], edges[1::2]):
+                    look(max(a, low), min(b, high))
         return sorted(set(out), key=lambda m: m[1:])
 
 
@@ -121,9 +138,15 @@ def scan_text(value: str | None, find: Scanner, base: dict[str, str]):
     line = b" ".join(words)
     hits = [(p, label) for phrase, label in base.items() for p in places(line, phrase.encode())]
     text = line.decode("utf-8", "surrogatepass")
+    found = find.matches(text)
+    spaces = [i for i, c in enumerate(text) if c == " "] if found else []
+
+    def word(at: int) -> int:
+        return bisect.bisect_left(spaces, at)
+
     notices = [
-        {"label": label, "first_word": text.count(" ", 0, a + (text[a] == " ")), "last_word": text.count(" ", 0, b - (text[b - 1] == " ")), "edits": e, "similarity": s}
-        for label, a, b, e, s in find.matches(text)
+        {"label": label, "first_word": word(a + (text[a] == " ")), "last_word": word(b - (text[b - 1] == " ")), "edits": e, "similarity": s}
+        for label, a, b, e, s in found
     ]
     return len(words), sorted(hits), notices
 
