@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -18,8 +19,10 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, Struc
 from bidlens.llm.common import add_columns, small_batches, stored, table, trimmed
 from bidlens.session import broadcast_if_small
 
-# Labelled rows to learn from, at most about (an even share of them by hash of the id).
+# Labelled rows to learn from, at most about; half of them of each class.
 SAMPLE_ROWS = 40_000
+# Remainders of the id's checksum that are not held out, and the two halves that trees are calibrated by.
+FOLDS, HALVES = (1, 2, 3, 4), ((1, 2), (3, 4))
 # Terms of toxic texts that are weighed, and of these the terms in the learned lexicon, at most.
 CANDIDATES, LEXICON = 50_000, 5_000
 # Toxic texts that must hold a term of the lexicon, and its least log ratio of document shares.
@@ -126,29 +129,44 @@ class ToxicityModel:
 
 
 def _counted(texts: DataFrame, wanted: set | None) -> DataFrame:
-    """Texts that hold each term: (term, n), combined per batch before the shuffle."""
+    """Texts (text, fold) that hold each term, by fold: (term, n1 to n4, n), combined per batch before the shuffle."""
 
     def count(batches):
         for batch in batches:
-            found: Counter = Counter()
-            for t in batch.column("text"):
-                found.update(terms(t.as_py()) if wanted is None else terms(t.as_py()) & wanted)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
+            found: dict[int, Counter] = {f: Counter() for f in FOLDS}
+            for t, f in zip(batch.column("text"), batch.column("fold")):
+                found[f.as_py()].update(terms(t.as_py()) if wanted is None else terms(t.as_py()) & wanted)
+            rows = [(t, f, n) for f, c in found.items() for t, n in c.items()]
+            kinds = (pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["term", "fold", "n"])
 
-    schema = StructType([StructField("term", StringType()), StructField("n", LongType())])
-    return texts.select("text").mapInArrow(trimmed(count), schema).groupBy("term").agg(F.sum("n").alias("n"))
+    schema = StructType([StructField("term", StringType()), StructField("fold", LongType()), StructField("n", LongType())])
+    parts = [F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in FOLDS]
+    return texts.select("text", "fold").mapInArrow(trimmed(count), schema).groupBy("term").agg(*parts, F.sum("n").alias("n"))
 
 
-def learn_lexicon(rows: DataFrame) -> dict[str, float]:
-    """Terms of ``rows`` (text, toxic) with the log ratio of their shares of toxic and clean texts."""
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+def learn_lexicons(rows: DataFrame) -> dict[int, dict[str, float]]:
+    """Lexicons of ``rows`` (text, toxic, fold): terms with the log ratio of their shares of toxic and clean texts.
+
+    Under each fold the lexicon of the other folds' rows, under 0 that of all rows. Terms are counted once, by fold.
+    """
+    sizes = {(r["toxic"], r["fold"]): r["n"] for r in rows.groupBy("toxic", "fold").agg(F.count("*").alias("n")).collect()}
     often = _counted(rows.where("toxic = 1"), None).where(F.col("n") >= SUPPORT)
-    bad = {r["term"]: r["n"] for r in often.orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
-    good = {r["term"]: r["n"] for r in _counted(rows.where("toxic = 0"), set(bad)).collect()}
-    n_bad, n_good = sizes.get(1, 0), sizes.get(0, 0)
-    weight = {t: math.log((n + 0.5) / (n_bad + 1)) - math.log((good.get(t, 0) + 0.5) / (n_good + 1)) for t, n in bad.items()}
-    best = sorted(((w, t) for t, w in weight.items() if w >= RATIO), key=lambda x: (-x[0], x[1]))[:LEXICON]
-    return {t: w for w, t in best}
+    bad = {r["term"]: r for r in often.orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
+    good = {r["term"]: r for r in _counted(rows.where("toxic = 0"), set(bad)).collect()}
+
+    def lexicon(left_out: int) -> dict[str, float]:
+        used = [f for f in FOLDS if f != left_out]
+        n_bad, n_good = (sum(sizes.get((t, f), 0) for f in used) for t in (1, 0))
+        found = []
+        for term, row in bad.items():
+            n, m = (sum(r[f"n{f}"] for f in used) if r else 0 for r in (row, good.get(term)))
+            weight = math.log((n + 0.5) / (n_bad + 1)) - math.log((m + 0.5) / (n_good + 1))
+            if n >= SUPPORT and weight >= RATIO:
+                found.append((weight, term))
+        return {t: w for w, t in sorted(found, key=lambda x: (-x[0], x[1]))[:LEXICON]}
+
+    return {f: lexicon(f) for f in (0, *FOLDS)}
 
 
 def featured(docs: DataFrame, lexicon: dict[str, float], text: str = "text") -> DataFrame:
@@ -164,36 +182,41 @@ def featured(docs: DataFrame, lexicon: dict[str, float], text: str = "text") ->
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    """Learn from labelled rows that are not held out.
+    """Learn from labelled rows that are not held out, by cross-fitting over the four folds of their ids.
 
-    Two folds by id teach the lexicon, one the trees, one the calibration, so that no step sees its own
-    labels again; where a fold lacks a class all rows serve. With one class only, or none, scores are the
-    smoothed share of toxic rows. Of repeated labels the largest counts; null labels and ids do not count,
-    nor do labels other than 0 and 1.
+    The terms of a fold's rows are weighed by a lexicon of the other folds, so that no lexicon has seen the labels of the rows
+    that trees learn from. Trees for the calibration come from two folds and score the other two. The model has the
+    lexicon of all rows, trees of all rows and the calibration of all such scores; the scheme is the same at every size.
+
+    At most about half of ``sample_rows`` are drawn of each class, by a hash of the id, so that rare toxic rows are kept;
+    rows weigh as many as they stand for. If two folds lack a class, scores are the smoothed share of toxic rows. Of repeated
+    labels the largest counts; null labels and ids do not count, nor do labels other than 0 and 1.
     """
     small_batches(docs.sparkSession)
     marks = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
-    marks = marks.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    n = marks.count()
+    marks = stored(marks.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "tox-marks")
+    counts = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = {t: min(1.0, sample_rows / 2 / max(1, counts.get(t, 0))) for t in (0, 1)}
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
-    chosen = stored(marks.where(draw < min(1.0, sample_rows / max(1, n))), "tox-labels")
-    rows = docs.select("doc_id", "text").join(broadcast_if_small(chosen), "doc_id").withColumn("fold", fold(F.col("doc_id")))
+    kept = F.when(F.col("toxic") == 1, F.lit(share[1])).otherwise(F.lit(share[0]))
+    chosen = stored(marks.where(draw < kept).withColumn("weight", 1 / kept), "tox-labels")
+    rows = docs.select("doc_id", "text").join(broadcast_if_small(chosen), "doc_id").withColumn("fold", fold(F.col("doc_id")).cast("long"))
     rows = stored(rows, "tox-sample")
-    size = {(r["fold"], r["toxic"]): r["n"] for r in rows.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
+    size = {(r["fold"], r["toxic"]): r["n"] for r in rows.groupBy("fold", "toxic").agg(F.sum("weight").alias("n")).collect()}
     bad, every = sum(v for (_, t), v in size.items() if t), sum(size.values())
     base = (bad + 0.5) / (every + 1)
-    if not 0 < bad < every:
+    if not all(any((f, t) in size for f in half) for half in HALVES for t in (0, 1)):
         return ToxicityModel({}, None, None, base)
-    enough = all(size.get((f, t), 0) >= 20 for f in (1, 2, 3, 4) for t in (0, 1))
-    part = (lambda *f: F.col("fold").isin(*f)) if enough else (lambda *f: F.lit(True))
-    lexicon = learn_lexicon(rows.where(part(1, 2)))
-    made = featured(rows.where(part(3, 4)), lexicon).select("fold", F.col("toxic").cast("double").alias("label"), "tox_features")
+    lexicons = learn_lexicons(rows)
+    parts = [featured(rows.where(F.col("fold") == f), lexicons[f]) for f in FOLDS]
+    made = reduce(DataFrame.union, parts).select("fold", F.col("toxic").cast("double").alias("label"), "weight", "tox_features")
     made = stored(made, "tox-features").withColumn("features", array_to_vector("tox_features"))
-    boost = GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.2, minInstancesPerNode=5 if enough else 1, seed=7)
-    trees = boost.fit(made.where(part(3)))
-    raw = trees.transform(made.where(part(4))).select("label", vector_to_array("probability")[1].alias("p"))
-    isotonic = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="score").fit(raw)
-    return ToxicityModel(lexicon, trees, isotonic, base)
+    boost = GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.2, minInstancesPerNode=5, weightCol="weight", seed=7)
+    first, second = (made.where(F.col("fold").isin(*half)) for half in HALVES)
+    scored = [boost.fit(a).transform(b).select("label", "weight", vector_to_array("probability")[1].alias("p")) for a, b in ((first, second), (second, first))]
+    raw = stored(scored[0].union(scored[1]), "tox-scores")
+    isotonic = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="weight", predictionCol="score").fit(raw)
+    return ToxicityModel(lexicons[0], boost.fit(made), isotonic, base)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
@@ -221,5 +244,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those predicted toxic."""
+    """``docs`` without those predicted toxic, by a model of the labels of ``docs``.
+
+    Rows with a null or empty text are scored by all-zero features; repeated rows go or stay together; an empty table
+    stays empty; all columns stay as they are.
+    """
     return score(docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("doc"), "text"), train(docs, labels)).where("predicted = 0").select("doc.*")
