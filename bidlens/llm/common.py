@@ -58,7 +58,10 @@ def add_columns(df: DataFrame, inputs: list[str], outputs: list[StructField], ma
     new = {f.name.lower() for f in outputs}
     kept = [c for c in df.columns if c.lower() not in new]
     n = len(kept)
-    base = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(f"__in_{i}") for i, c in enumerate(inputs)])
+    mark = "__in_"
+    while any(c.lower().startswith(mark) for c in df.columns):
+        mark += "_"
+    base = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(f"{mark}{i}") for i, c in enumerate(inputs)])
     names = [*kept, *(f.name for f in outputs)]
 
     def run(batches):

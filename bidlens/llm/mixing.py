@@ -100,7 +100,7 @@ def _order(seed: int, *columns) -> Column:
     return F.xxhash64(F.lit(seed), *columns)
 
 
-def mixed(docs: DataFrame, mix: Mixture, tokens: Column, block_tokens: int = BLOCK_TOKENS, seed: int = 1) -> DataFrame:
+def mixed(docs: DataFrame, mix: Mixture, tokens: Column, block_tokens: int = BLOCK_TOKENS, seed: int = 1, draw: Column | None = None) -> DataFrame:
     """``docs`` with ``copies``, how often each is used, ``block`` and ``epochs`` of its source, and ``weight``.
 
     A source's whole passes take every document. The last, partial pass takes blocks of documents in the
@@ -108,13 +108,15 @@ def mixed(docs: DataFrame, mix: Mixture, tokens: Column, block_tokens: int = BLO
     while they fit, so that a source spends at most its budget and falls short by less than a document.
     Documents are dealt to blocks of about ``block_tokens`` by hash; a source is never one sort but a sort
     of its blocks. Documents of a source without tokens are used once. Rows that are equal in doc_id and
-    text are taken together. Columns of these names are replaced.
+    text are taken together; ``draw``, a hash of both, may be given if it was computed before. Columns of these
+    names are replaced, all others may have any name.
     """
     names = [c for c in docs.columns if c.lower() not in ("copies", "block", "epochs", "weight")]
     blocks = F.ceil(F.col("mix_total") / block_tokens).cast("long")
-    draw = _order(seed, "doc_id", "text")
+    draw = _order(seed, "doc_id", "text") if draw is None else draw
     table_ = mix.sources.select(F.col("name").alias("mix_name"), F.col("tokens").alias("mix_total"), "weight", "epochs")
-    held = docs.select(*[F.col(f"`{c}`") for c in names], tokens.alias("mix_tokens"), F.coalesce("source", F.lit(UNNAMED)).alias("mix_name"), draw.alias("mix_draw"))
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("mix_row")
+    held = docs.select(row, tokens.alias("mix_tokens"), F.coalesce("source", F.lit(UNNAMED)).alias("mix_name"), draw.alias("mix_draw"))
     dealt = held.join(broadcast_if_small(table_), "mix_name").withColumn("block", F.pmod("mix_draw", F.greatest(blocks, F.lit(1))))
 
     sizes = stored(dealt.groupBy("mix_name", "block").agg(F.sum("mix_tokens").alias("size"), F.first("mix_total").alias("mix_total"), F.first("epochs").alias("epochs")), "mix-blocks")
@@ -131,19 +133,25 @@ def mixed(docs: DataFrame, mix: Mixture, tokens: Column, block_tokens: int = BLO
     plan = stored(plan, "mix-plan")
     last = F.col("all") | F.coalesce(_order(seed + 2, "mix_draw") <= F.col("bound"), F.lit(False))
     copies = F.when(F.col("mix_total") > 0, whole + last.cast("int")).otherwise(1).cast("int")
-    return dealt.join(broadcast_if_small(plan), ["mix_name", "block"]).select(*[F.col(f"`{c}`") for c in names], copies.alias("copies"), "block", "epochs", "weight")
+    return dealt.join(broadcast_if_small(plan), ["mix_name", "block"]).select("mix_row.*", copies.alias("copies"), "block", "epochs", "weight")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text").withColumn("tokens", word_count(F.col("text")))
+    docs = table(spark, sf_dir, "documents")
+    # The texts are read once; all else is about their numbers of tokens.
+    docs = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("tokens"), _order(1, "doc_id", "text").alias("draw")), "mix-tokens")
     total = docs.agg(F.sum("tokens")).first()[0]
     mix = mixture(docs, F.col("tokens"), ENTROPY_SHARE, REPEATS, float(total or 0))
-    return mixed(docs, mix, F.col("tokens")).select("doc_id", "source", "tokens", "weight", "epochs", "copies")
+    return mixed(docs, mix, F.col("tokens"), draw=F.col("draw")).select("doc_id", "source", "tokens", "weight", "epochs", "copies")
 
 
 def repeated_by_weight(docs: DataFrame, repeats: float = PIPELINE_REPEATS) -> DataFrame:
-    """``docs`` with each row as often as the mixture uses it; every document stays at least once."""
-    tokens = word_count(F.col("text"))
-    held = docs.select("doc_id", "source", "text", F.struct(*[f"`{c}`" for c in docs.columns]).alias("doc"))
-    used = mixed(held, mixture(docs, tokens, repeats=repeats), tokens)
+    """``docs`` with each row as often as the mixture uses it; every document stays at least once.
+
+    A null text has no tokens, a null source goes under a name of its own, repeated rows are repeated alike, an
+    empty table stays empty; all columns stay as they are.
+    """
+    row = F.struct(*[f"`{c}`" for c in docs.columns]).alias("doc")
+    held = stored(docs.select(row, "source", word_count(F.col("text")).alias("tokens"), _order(1, "doc_id", "text").alias("draw")), "mix-tokens")
+    used = mixed(held, mixture(held, F.col("tokens"), repeats=repeats), F.col("tokens"), draw=F.col("draw"))
     return used.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
