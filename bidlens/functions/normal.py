@@ -43,10 +43,6 @@ def horner(x, coefficients):
     return reduce(lambda acc, c: acc * x + c, coefficients[1:], coefficients[0])
 
 
-def norm_pdf(x: Column) -> Column:
-    return F.exp(x * x * F.lit(-0.5)) / F.lit(ROOT_TWO_PI)
-
-
 def norm_cdf(x: Column) -> Column:
     a = F.least(F.abs(x), F.lit(TAIL))
     tail = F.exp(a * a * F.lit(-0.5)) * horner(a, NUMERATOR) / horner(a, DENOMINATOR)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidlens.functions.pricing import ectr, expected_kpi, money, private_value
+from bidlens.session import broadcast_if_small, materialize
 
 
 def route(requests: DataFrame, campaigns: DataFrame) -> DataFrame:
@@ -17,6 +18,37 @@ def route(requests: DataFrame, campaigns: DataFrame) -> DataFrame:
     return requests.join(campaigns, "advertiser")
 
 
+# Offers that one cell of a split advertiser makes, about.
+CELL_OFFERS = 1_000_000
+
+
+def route_split(requests: DataFrame, campaigns: DataFrame, cell_offers: int = CELL_OFFERS) -> DataFrame:
+    """``route`` for campaigns that are too many to broadcast, with no task for a whole advertiser.
+
+    Requests and campaigns are counted per advertiser. Its offers are dealt to a grid of cells: requests to rows
+    by a hash of their id, campaigns to columns, and each is copied along the other side, so that a cell makes
+    about ``cell_offers`` offers. The grid has the proportions of the two sides, which copies the least.
+    """
+    asked = requests.groupBy("advertiser").agg(F.count("*").alias("_asked"))
+    offering = campaigns.groupBy("advertiser").agg(F.count("*").alias("_offering"))
+    cells = F.ceil(F.col("_asked") * F.col("_offering").cast("double") / cell_offers)
+    rows = F.least(F.greatest(F.round(F.sqrt(cells * F.col("_asked") / F.col("_offering"))), F.lit(1.0)), cells.cast("double"))
+    grid = asked.join(offering, "advertiser").select(
+        "advertiser", rows.cast("int").alias("_rows"), F.ceil(cells / rows).cast("int").alias("_columns")
+    )
+    grid = broadcast_if_small(materialize(grid))
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    own = requests.join(grid, "advertiser").withColumn("_row", F.pmod(F.xxhash64("bid_id"), F.col("_rows")).cast("int"))
+    own = own.withColumn("_column", every("_columns")).drop("_rows", "_columns")
+    sides = [c for c in campaigns.columns if c != "advertiser"]
+    theirs = campaigns.join(grid, "advertiser").withColumn("_column", F.pmod(F.xxhash64(*sides), F.col("_columns")).cast("int"))
+    theirs = theirs.withColumn("_row", every("_rows")).drop("_rows", "_columns")
+    return own.join(theirs, ["advertiser", "_row", "_column"]).drop("_row", "_column")
+
+
 Layers = list[dict[str, Column]]
 
 

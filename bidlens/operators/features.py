@@ -6,20 +6,29 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import FeatureHasher, IndexToString, OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidlens.functions.pricing import bucket
+from bidlens.operators.missing import FillMissing
 from bidlens.operators.prep import TAG_COLUMNS
+from bidlens.operators.ranking import with_rank
 from bidlens.session import broadcast_if_small, materialize
 
 # Columns of the training log by kind of feature. No new value may appear in a
 # safe category after training; in an unsafe one it counts as NA.
 NUMERIC = ["City_Pop", "City_Lat", "City_Long", "AdSlotW", "AdSlotH", "AdSlotSize", "AdSlotFloorPrice"]
 SAFE = ["Weekday", "Hour", "AdEx", "AdSlotVis", "AdSlotFormat", "Advertiser", "UA_os_type"]
-UNSAFE = """
-    UA_os_fam UA_os_ver UA_br_fam UA_br_ver UA_dev_fam UA_dev_brand UA_dev_mod Region City
-""".split()
+UNSAFE = [
+    "UA_os_fam",
+    "UA_os_ver",
+    "UA_br_fam",
+    "UA_br_ver",
+    "UA_dev_fam",
+    "UA_dev_brand",
+    "UA_dev_mod",
+    "Region",
+    "City",
+]
 HASHED, BUCKETS = ["Site_URL", "Site_Dom"], 1000
 
 
@@ -55,12 +64,14 @@ def feature_pipeline(
     buckets: int = BUCKETS,
 ) -> Pipeline:
     """Numeric, hashed, indexed and one-hot encoded columns and tags, as one vector. The input
-    has passed ``fill_categories``."""
+    has passed ``fill_categories``. A missing number is its mean in training, a missing tag is not set."""
     coded = [*safe, *unsafe]
     parts = ["FT_num", "FT_hashed", *[f"FT_{c}" for c in coded], "FT_ut"]
     return Pipeline(
         stages=[
-            VectorAssembler(inputCols=list(numeric), outputCol="FT_num", handleInvalid="keep"),
+            FillMissing(inputCols=list(numeric)),
+            FillMissing(inputCols=list(tags), strategy="zero"),
+            VectorAssembler(inputCols=list(numeric), outputCol="FT_num"),
             FeatureHasher(inputCols=list(hashed), outputCol="FT_hashed", numFeatures=buckets),
             indexer(safe, "error"),
             indexer(unsafe, "keep"),
@@ -79,19 +90,11 @@ def assemble_prefix(df: DataFrame, prefix: str = "FT_", output: str = "features"
     return VectorAssembler(inputCols=parts, outputCol=output).transform(df)
 
 
-def hash_counts(df: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
-    """How many values of the columns fall into each of ``n`` buckets."""
-    return df.select(F.explode(F.array(*[bucket(c, F.col(c), n) for c in columns])).alias("bucket")).groupBy(
-        "bucket"
-    ).count()
-
-
 def labels_of(df: DataFrame, column: str) -> DataFrame:
     """Labels by falling frequency, ties by name, with their index from 0; null counts as ``NA``."""
     counts = df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("NA")).alias("label")).count()
-    # One window over distinct labels, which are already aggregated.
-    rank = F.row_number().over(Window.orderBy(F.desc("count"), "label"))
-    return counts.select("label", "count", (rank - 1).cast("double").alias("index"))
+    ranked = with_rank(counts, [F.desc("count"), "label"], "index")
+    return ranked.select("label", "count", F.col("index").cast("double").alias("index"))
 
 
 def label_index(df: DataFrame, column: str, labels: DataFrame, unseen: str = "error") -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel, RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidlens.operators.features import fill_categories
+from bidlens.sources.schemas import REQUEST_COLUMNS
 
 LABEL, PREDICTION = "PayingPrice", "WpPrediction"
 
@@ -56,25 +59,41 @@ def model_report(spark: SparkSession, model: Model, test: DataFrame) -> DataFram
 def score_requests(features: PipelineModel, model: Model, log: DataFrame) -> DataFrame:
     """Score a whole log and give it the 16 columns of replay input."""
     scored = model.transform(features.transform(fill_categories(log)))
-    # Names of the click predictions in the log and in replay input.
+    # Click predictions whose name in the log is not that in replay input.
     renamed = {
-        "GBRT_prediction_International e-commerce": "GBRT_prediction_International_eCommerce",
-        "GBRT_prediction_Oil": "GBRT_prediction_Oil",
-        "GBRT_prediction_Software": "GBRT_prediction_Software",
-        "GBRT_prediction_Tire": "GBRT_prediction_Tire",
-        "GBRT_prediction_Chinese vertical e-commerce": "GBRT_prediction_Chinese_vertical_eCommerce",
+        "GBRT_prediction_International_eCommerce": "GBRT_prediction_International e-commerce",
+        "GBRT_prediction_Chinese_vertical_eCommerce": "GBRT_prediction_Chinese vertical e-commerce",
     }
-    return scored.select(
-        "Bid_id",
-        "Timestamp",
-        "Impression",
-        "Click",
-        "Conversion",
-        "Advertiser",
-        "AdSlotFloorPrice",
-        "prediction",
-        *[F.col(f"`{old}`").alias(new) for old, new in renamed.items()],
-        "BidPrice",
-        "PayingPrice",
-        PREDICTION,
-    )
+    return scored.select([F.col(f"`{renamed.get(c, c)}`").alias(c) for c in REQUEST_COLUMNS])
+
+
+def optimality(model: LinearRegressionModel, featured: DataFrame) -> DataFrame:
+    """How far each coefficient of an elastic net, and its intercept, is from being optimal on its training rows.
+
+    Rows (index, coefficient, gap), index -1 for the intercept. On centred columns of deviation 1 the objective is half the
+    mean squared error plus ``l1 * |w| + l2 / 2 * w ** 2`` per coefficient w. At its minimum the gradient of the smooth part is
+    ``-l1 * sign(w)`` where w is not 0, and within ``l1`` of 0 where it is; the gap is the distance to that. Products of
+    residuals and features are summed in one aggregate, positive and negative residuals apart as weights.
+    """
+    n_features = model.numFeatures
+    miss = F.col(LABEL) - F.col(PREDICTION)
+    rows = model.transform(featured.select("features", F.col(LABEL).cast("double").alias(LABEL)))
+    every = Summarizer.metrics("count", "mean", "variance")
+    above, below = (Summarizer.metrics("sum").summary(F.col("features"), F.greatest(x, F.lit(0.0))) for x in (miss, -miss))
+    found = rows.agg(every.summary(F.col("features")).alias("x"), above.alias("above"), below.alias("below"), F.sum(miss).alias("miss"), F.var_pop(LABEL).alias("spread"), F.avg(LABEL).alias("level")).first()
+    n = found["x"]["count"]
+    # The direct solver scales by population deviations, the iterative one, for many features, by those of a sample.
+    direct = n_features <= 4096
+    scale = np.sqrt(found["x"]["variance"].toArray() * ((n - 1) / n if direct else 1.0))
+    label_scale = np.sqrt(found["spread"] * (1.0 if direct else n / (n - 1)))
+    products = found["above"]["sum"].toArray() - found["below"]["sum"].toArray() - found["x"]["mean"].toArray() * found["miss"]
+    used = scale > 0
+    w = model.coefficients.toArray() * scale / label_scale
+    strength = model.getOrDefault(model.regParam) / label_scale
+    l1, l2 = strength * model.getOrDefault(model.elasticNetParam), strength * (1 - model.getOrDefault(model.elasticNetParam))
+    slope = -products / np.where(used, scale, 1.0) / label_scale / n + l2 * w
+    gap = np.where(w != 0, np.abs(slope + l1 * np.sign(w)), np.maximum(np.abs(slope) - l1, 0.0))
+    gap = np.where(used, gap, np.abs(model.coefficients.toArray()))
+    rows = [(-1, float(model.intercept), float(abs(found["miss"]) / n / label_scale))]
+    rows += [(i, float(c), float(g)) for i, (c, g) in enumerate(zip(model.coefficients.toArray(), gap))]
+    return featured.sparkSession.createDataFrame(rows, "index int, coefficient double, gap double")

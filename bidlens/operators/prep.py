@@ -11,11 +11,13 @@ from bidlens.functions.pricing import unit_hash
 from bidlens.functions.timeparts import parse_ts
 
 # User tags with a flag column each.
-USER_TAGS = """
-    10006 10024 10031 10048 10052 10057 10059 10063 10067 10074 10075 10076 10077 10079 10083
-    10093 10102 10110 10111 10684 11092 11278 11379 11423 11512 11576 11632 11680 11724 11944
-    13042 13403 13496 13678 13776 13800 13866 13874 14273 16593 16617 16661 16706
-""".split()
+USER_TAGS = [
+    "10006", "10024", "10031", "10048", "10052", "10057", "10059", "10063", "10067",
+    "10074", "10075", "10076", "10077", "10079", "10083", "10093", "10102", "10110",
+    "10111", "10684", "11092", "11278", "11379", "11423", "11512", "11576", "11632",
+    "11680", "11724", "11944", "13042", "13403", "13496", "13678", "13776", "13800",
+    "13866", "13874", "14273", "16593", "16617", "16661", "16706",
+]
 TAG_COLUMNS = [f"UT_{tag}" for tag in USER_TAGS]
 
 # Advertisers with a click prediction column each.
@@ -40,10 +42,21 @@ DOUBLE_COLUMNS = (
 TRAINING_TYPES = {c: "int" for c in INT_COLUMNS} | {c: "double" for c in DOUBLE_COLUMNS}
 
 # Raw columns that no later step uses.
-UNUSED_COLUMNS = """
-    _c0 index u_id UA AdS CreativeID f_timestamp UserTags is_cl is_cv f_time_diff AdSlotID
-    AdvertiserID
-""".split()
+UNUSED_COLUMNS = [
+    "_c0",
+    "index",
+    "u_id",
+    "UA",
+    "AdS",
+    "CreativeID",
+    "f_timestamp",
+    "UserTags",
+    "is_cl",
+    "is_cv",
+    "f_time_diff",
+    "AdSlotID",
+    "AdvertiserID",
+]
 
 # Code dictionaries of the ad slot.
 AD_EXCHANGES = {1: "DoubleClick", 2: "TANX", 3: "Baidu", 4: "Youku", 5: "Tencent"}
@@ -89,8 +102,9 @@ def cast_schema(df: DataFrame, types: Mapping[str, str] = TRAINING_TYPES) -> Dat
 
 
 def whole_number(code: Column) -> Column:
-    """A code read as text, ``3`` or ``3.0``; other text is null."""
-    return code.try_cast("double").try_cast("int")
+    """A code read as text, ``3`` or ``3.0``; a fraction and other text are null."""
+    value = code.try_cast("double")
+    return F.when(value == F.floor(value), value).try_cast("int")
 
 
 def map_codes(code: Column, names: Mapping[int, str]) -> Column:
@@ -104,14 +118,16 @@ def map_codes(code: Column, names: Mapping[int, str]) -> Column:
 
 def map_dictionary(df: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
     """Replace a code column by its dictionary name; unlisted, null, ``unknown`` and text that is no
-    number give ``NA``. A code listed twice has the last of its names by alphabet, and no row is doubled.
+    number give ``NA``. A code listed twice has the last of its known names by alphabet, as a file has no order of
+    lines that survives a parallel read; no row is doubled.
 
     No hint: the dictionary is read from a file, so the planner knows its size and broadcasts
     it below the session's threshold.
     """
-    names = dictionary.groupBy(F.col("code").alias("_code")).agg(F.max("name").alias("_name"))
+    known = F.nullif(F.col("name"), F.lit("unknown"))
+    names = dictionary.groupBy(F.col("code").alias("_code")).agg(F.max(known).alias("_name"))
     joined = df.join(names, whole_number(F.col(f"`{column}`")) == F.col("_code"), "left")
-    name = F.coalesce(F.nullif(F.col("_name"), F.lit("unknown")), F.lit("NA"))
+    name = F.coalesce(F.col("_name"), F.lit("NA"))
     return joined.withColumn(column, name).drop("_code", "_name")
 
 
@@ -190,6 +206,13 @@ def to_bid_requests(raw: DataFrame) -> DataFrame:
     )
 
 
+def store_bucketed(df: DataFrame, key: str, table: str, path: str, buckets: int) -> DataFrame:
+    """``df`` as a table of ``buckets`` buckets of its key, each sorted by it; two such tables join without an exchange."""
+    spark = df.sparkSession
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def join_prices(df: DataFrame, extra: DataFrame) -> DataFrame:
     """Attach bid and paying price from a side table by bid id.
 

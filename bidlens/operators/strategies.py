@@ -53,6 +53,8 @@ STRATEGIES: dict[str, Callable[[], Column]] = {
     "OriginalBidding": lambda: constant(F.lit(1000.0)),
     "ConstantAvgValue": lambda: constant(F.col("bid_level")),
     "TrueValue": true_value,
+    "ThresholdSurplus": lambda: threshold("Surplus", 0.0),
+    "RandomInRange": lambda: uniform(F.lit(0.0), F.lit(MAX_BID), 42),
     "RandomUpToTrueValue": lambda: uniform(F.lit(0.0), F.col("private_value"), 42),
     "LinearBidder": lambda: linear(F.col("baseline"), F.col("ctr")),
     "LinearWithPacingPastCPM": lambda: linear(F.col("baseline"), F.col("ctr")),
@@ -61,6 +63,10 @@ STRATEGIES: dict[str, Callable[[], Column]] = {
 }
 
 
+# Strategies whose bid is computed in Arrow batches.
+ARROW_STRATEGIES = {"ORTB"}
+
+
 def bid_of(name: str, strategies: Mapping[str, Callable[[], Column]] = STRATEGIES) -> Column:
     """Rounded bid of a named strategy; an unknown name is an error."""
     if name not in strategies:

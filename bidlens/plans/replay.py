@@ -5,12 +5,12 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidlens.functions.pricing import MONEY
-from bidlens.functions.timeparts import day_hour, format_ts
-from bidlens.operators.auction import outcome, route, with_auction, with_value
+from bidlens.functions.timeparts import day_hour, format_ts, hour_start
+from bidlens.operators.auction import outcome, route, route_split, with_auction, with_value
 from bidlens.operators.budget import (
     LANE,
     SORTED_WINS,
@@ -23,8 +23,8 @@ from bidlens.operators.budget import (
     within,
 )
 from bidlens.operators.kpis import COUNTERS, COUNTER_TYPES, count_requests
-from bidlens.operators.landscape import lognormal, with_landscape
-from bidlens.operators.strategies import bid_by_strategy
+from bidlens.operators.landscape import lognormal, moments, with_landscape
+from bidlens.operators.strategies import ARROW_STRATEGIES, bid_by_strategy
 from bidlens.session import broadcast_if_small, is_small, materialize
 
 # The shares of the full budget that a run compares.
@@ -116,20 +116,29 @@ def distinct_campaigns(campaigns: DataFrame) -> DataFrame:
 
 def offers(requests: DataFrame, campaigns: DataFrame, landscape: DataFrame, strategies: Sequence[str]) -> DataFrame:
     """Bid and auction result of every request in every lane of its advertiser. Campaigns and
-    landscape are counted, so pass stored ones."""
-    lane_table = lanes(campaigns)
-    if is_small(campaigns):
-        lane_table = F.broadcast(lane_table)
-    valued = with_value(route(requests, lane_table))
-    weekday, hour = day_hour(F.col("ts"))
-    cells = lognormal(
-        with_landscape(
-            valued.withColumn("weekday", weekday).withColumn("hour", hour), broadcast_if_small(landscape)
-        )
-    )
-    bids = cells.withColumn("remaining", F.lit(None).cast(MONEY)).withColumn(
-        "bid", bid_by_strategy(list(strategies))
+    landscape are counted, so pass stored ones.
+
+    Lanes whose strategy bids in Arrow batches are routed apart from the others, so only their rows leave the JVM.
+    """
+    lane_table, small = lanes(campaigns), is_small(campaigns)
+    cells = broadcast_if_small(landscape)
+    batched = [s for s in strategies if s in ARROW_STRATEGIES]
+    plain = [s for s in strategies if s not in ARROW_STRATEGIES]
+    if not (batched and plain):
+        return _offered(requests, lane_table, small, cells, list(strategies))
+    # A strategy that is not named at all goes with the plain ones, where it is an error.
+    known = F.col("strategy").isin(batched)
+    return _offered(requests, lane_table.filter(~known), small, cells, plain).unionByName(
+        _offered(requests, lane_table.filter(known), small, cells, batched)
     )
+
+
+def _offered(requests: DataFrame, lane_table: DataFrame, small: bool, landscape: DataFrame, strategies: list[str]) -> DataFrame:
+    routed = route(requests, F.broadcast(lane_table)) if small else route_split(requests, materialize(lane_table))
+    valued = with_value(routed)
+    weekday, hour = day_hour(F.col("ts"))
+    cells = lognormal(with_landscape(valued.withColumn("weekday", weekday).withColumn("hour", hour), landscape))
+    bids = cells.withColumn("remaining", F.lit(None).cast(MONEY)).withColumn("bid", bid_by_strategy(strategies))
     return with_hour(with_auction(bids))
 
 
@@ -213,3 +222,41 @@ def campaign_counters(offered: DataFrame, campaigns: DataFrame, sorted_wins: int
     counted = campaigns.join(totals, "campaign_id", "left").join(stops, "campaign_id", "left")
     zero = {name: F.coalesce(F.col(name), F.lit(0)) for name in COUNTERS}
     return counted.withColumns(zero).withColumn("actual_end_ts", F.coalesce("cut_ts", "end_ts"))
+
+
+def won_hours(
+    offered: DataFrame,
+    campaigns: DataFrame,
+    until: Column | None = None,
+    sorted_wins: int = SORTED_WINS,
+) -> DataFrame:
+    """Moments of what every campaign saw while it ran and had budget, per campaign and hour, without a row per
+    request and campaign.
+
+    Hours are counted once per lane; a campaign takes its lane's hours up to the one in which its budget ends, and
+    only such hours are read again. With ``until``, a column of the campaigns, later requests do not count; the
+    hour it falls into is read again too.
+    """
+    campaigns, small = distinct_campaigns(campaigns), is_small(campaigns)
+    if until is not None:
+        campaigns = campaigns.withColumn("until_ts", until)
+    else:
+        campaigns = campaigns.withColumn("until_ts", F.lit(None).cast("timestamp_ntz"))
+    seen = offered.filter("open")
+    by_hour = materialize(moments(seen, [*LANE, "hour_ts"]))
+    hours = materialize(crossing_hours(campaigns, by_hour.withColumn("n", F.col("wins"))))
+    cuts = narrow(in_hours(seen, hours).filter("won"), hours, LANE, small, sorted_wins)
+
+    ends = hours.select("campaign_id", F.col("hour_ts").alias("cut_hour"))
+    limits = campaigns.withColumn("until_hour", hour_start(F.col("until_ts"))).join(ends, "campaign_id", "left")
+    # The first hour that a campaign does not take whole.
+    limits = materialize(limits.withColumn("edge_hour", F.least("cut_hour", "until_hour")))
+    columns = ["requests", "wins", "clicks", "spend", "mu", "squares", "first_ts", "last_ts"]
+    whole = limits.join(by_hour, LANE).filter("edge_hour is null or hour_ts < edge_hour")
+    edges = limits.filter("edge_hour is not null").join(cuts.select("campaign_id", "cut_ts", "cut_tie", "cut_bid"), "campaign_id", "left")
+    edges = edges.select("campaign_id", "advertiser", *LANE, F.col("edge_hour").alias("hour_ts"), "until_ts", "cut_ts", "cut_tie", "cut_bid")
+    again = in_hours(seen, edges.select("hour_ts").distinct()).drop("advertiser")
+    rows = again.join(F.broadcast(edges) if small else edges, [*LANE, "hour_ts"])
+    rows = rows.filter(within(F.col("ts"), F.col("bid_id")) & (F.col("until_ts").isNull() | (F.col("ts") <= F.col("until_ts"))))
+    keys = ["campaign_id", "advertiser", "hour_ts"]
+    return whole.select(*keys, *columns).unionByName(moments(rows, keys).select(*keys, *columns))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -21,6 +24,54 @@ def read_log(spark: SparkSession, path: str | list[str], sep: str = ",", columns
     return reader.csv(path)
 
 
+def file_headers(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:
+    """(file, line) of every file that has a header line, read in one job.
+
+    The first line of a file is the first row of its first block; other blocks pass nothing on.
+    """
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    first = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "row").alias("line"))
+    return first.filter("line <> ''").select("file", "line")
+
+
+def read_mixed_logs(
+    spark: SparkSession, path: str | list[str], sep: str = ",", expected: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Headered text logs whose files may differ in their columns, united by name, and a report of columns.
+
+    Files with one header line are one read; a column that a file lacks is null there. Columns come in the order of
+    ``expected``, then others by name. The report has (column, files, expected): in how many files each column is,
+    and whether it was expected (null if nothing was); expected columns of no file are listed with 0 files. The
+    driver holds one line per file, as a reader of a list of files does.
+    """
+    found: dict[str, list[str]] = {}
+    for r in file_headers(spark, path, sep).collect():
+        found.setdefault(r["line"], []).append(r["file"])
+    parts, counts = [], {}
+    for line in sorted(found):
+        # The header option names the columns; a repeated name would be renamed, so it is an error.
+        part = spark.read.option("header", True).option("sep", sep).option("nullValue", "NA").csv(sorted(found[line]))
+        names = next(csv.reader([line], delimiter=sep))
+        if len(set(names)) < len(names):
+            raise ValueError(f"a column is named twice: {line}")
+        for n in names:
+            counts[n] = counts.get(n, 0) + len(found[line])
+        parts.append(part.select(*[F.col(f"`{n}`").cast("string").alias(n) for n in names]))
+    order = list(dict.fromkeys([*(expected or []), *sorted(counts)]))
+    rows = [(n, counts.get(n, 0), None if expected is None else n in expected) for n in order]
+    report = spark.createDataFrame(rows, "column string, files long, expected boolean")
+    if not parts:
+        return spark.createDataFrame([], StructType([StructField(n, StringType()) for n in order])), report
+    log = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    missing = {n: F.lit(None).cast("string") for n in order if n not in counts}
+    return log.withColumns(missing).select(*[F.col(f"`{n}`") for n in order]), report
+
+
 def read_requests(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The 16 positional, typed columns of replay input; a malformed row is an error."""
     return (
@@ -42,7 +93,7 @@ def read_landscape(spark: SparkSession, path: str) -> DataFrame:
 def landscape_cells(hourly: DataFrame) -> DataFrame:
     """The seven lookup columns of an hourly landscape, weekday in upper case.
 
-    A cell listed twice counts once, with the least of its rows by value.
+    A cell listed twice counts once: rows with mean and deviation go before others, then the least by value.
     """
     cells = hourly.select(
         F.col("Advertiser").alias("advertiser"),
@@ -53,8 +104,9 @@ def landscape_cells(hourly: DataFrame) -> DataFrame:
         F.col("sigmaPrice").alias("sigma"),
         F.col("CTR").alias("ctr"),
     )
-    one = cells.groupBy("advertiser", "weekday", "hour").agg(F.min(F.struct("rate", "mu", "sigma", "ctr")).alias("cell"))
-    return one.select("advertiser", "weekday", "hour", "cell.*")
+    unknown = (F.col("mu").isNull() | F.col("sigma").isNull()).alias("unknown")
+    one = cells.groupBy("advertiser", "weekday", "hour").agg(F.min(F.struct(unknown, "rate", "mu", "sigma", "ctr")).alias("cell"))
+    return one.select("advertiser", "weekday", "hour", *[F.col(f"cell.{c}") for c in ("rate", "mu", "sigma", "ctr")])
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:

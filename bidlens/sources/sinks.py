@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def write_log(df: DataFrame, path: str, mode: str = "errorifexists", sep: str = ",") -> None:
@@ -10,9 +13,22 @@ def write_log(df: DataFrame, path: str, mode: str = "errorifexists", sep: str =
     df.write.mode(mode).option("header", True).option("nullValue", "NA").option("sep", sep).csv(path)
 
 
-def append_kpis(kpis: DataFrame, path: str) -> None:
-    """Add the KPI rows of a run to a table that collects all runs."""
-    kpis.write.mode("append").parquet(path)
+# Columns that name a run in a table of all runs.
+RUN = ["sysdate", "dataset"]
+
+
+def append_kpis(kpis: DataFrame, path: str, run: Sequence[str] = RUN) -> None:
+    """Add the KPI rows of a run to a table that collects all runs, in a folder of its own.
+
+    A run written again, after a failure or by mistake, replaces its own rows and no others: only the partitions
+    that the rows have are overwritten.
+    """
+    kpis.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*run).parquet(path)
+
+
+def read_kpis(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The table of all runs, with columns in the order and of the types of ``like``."""
+    return spark.read.schema(like.schema).parquet(path).select(*like.columns)
 
 
 def write_events(events: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -32,6 +48,14 @@ def write_row_counts(counts: DataFrame, path: str, mode: str = "errorifexists")
     write_log(lines, path, mode, sep="\t")
 
 
+def append_row_counts(counts: DataFrame, path: str, run: str) -> None:
+    """Row counts of a run next to those of others; the same run written again replaces its own lines."""
+    lines = counts.selectExpr("file_name as file", "nrow").withColumn("run", F.lit(run))
+    lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").option("header", True).option(
+        "nullValue", "NA"
+    ).option("sep", "\t").csv(path)
+
+
 def write_report(text: DataFrame, path: str, mode: str = "errorifexists") -> None:
     text.select("report").write.mode(mode).text(path)
 

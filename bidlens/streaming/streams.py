@@ -1,4 +1,4 @@
-"""The landscape and the stateless auction on streams of requests."""
+"""The stateless auction on a stream of requests, and how streams are run."""
 
 from __future__ import annotations
 
@@ -10,22 +10,6 @@ from bidlens.operators.auction import outcome, route, with_auction, with_value
 from bidlens.operators.strategies import bid_by_strategy
 
 
-def stream_landscape(log: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Hourly price statistics per advertiser. A window is given out once the watermark has
-    passed its end; rows later than that are dropped."""
-    timed = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
-    price = F.when(F.col("impression") == 1, F.col("paying_price"))
-    stats = timed.groupBy(F.window("ts", "1 hour"), "advertiser").agg(
-        F.count("*").alias("requests"),
-        F.count(price).alias("impressions"),
-        F.sum(F.when(F.col("impression") == 1, F.col("click")).otherwise(F.lit(0))).alias("clicks"),
-        F.sum(price).alias("spending"),
-        F.avg(price).alias("mu"),
-        F.stddev_samp(price).alias("sigma"),
-    )
-    return stats.select(F.col("window.start").alias("hour_ts"), *[c for c in stats.columns if c != "window"])
-
-
 def stream_auctions(requests: DataFrame, campaigns: DataFrame, strategies: list[str]) -> DataFrame:
     """Bid and auction outcome of every request of a stream, before any budget.
 

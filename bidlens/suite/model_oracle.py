@@ -12,6 +12,7 @@ from bidlens.suite.oracle import (
     WON,
     r,
     replay,
+    unit,
     win,
 )
 from bidlens.suite.tables import TRAIN_END
@@ -63,6 +64,11 @@ def bisection(start: str, level: str, limits: tuple[float, float], rises: bool,
 
 STREAMED = replay(["TrueValue", "ConstantAvgValue"])
 
+HOURLY = f"""date_trunc('hour', ts) as hour_ts, advertiser, count(*) as requests, sum(impression)::bigint as impressions,
+  coalesce(sum(click) filter (impression = 1), 0)::bigint as clicks,
+  {r("sum(paying_price) filter (impression = 1)", "spending")}, {r("avg(paying_price) filter (impression = 1)", "mu")},
+  {r("stddev_samp(paying_price) filter (impression = 1)", "sigma")}"""
+
 MODEL_ORACLE = {
     "label_index": f"""with {BID_LOG}, words as (
   select bid_id::varchar as "Bid_id", 'v' || (user_id % 7)::varchar as "UA_os_ver" from bid_log),
@@ -82,18 +88,39 @@ from coded join labels on c_mktsegment = segment""",
     "calibrate_linear": f"""with recursive {running()},
 {bisection("bid_level", "x", LINEAR_RANGE, True, 10.0)}
 select campaign_id, {r("arg_max(x, i)", "baseline")} from steps group by 1""",
+    "bid_pacing": f"""with recursive {running()},
+{bisection("bid_level", "x", LINEAR_RANGE, True, 10.0)},
+tuned as (select campaign_id, arg_max(x, i) as baseline from steps group by 1),
+asked as (
+  select g.campaign_id, q.bid_id, baseline,
+    case when ctr_prediction > 0 then least(ctr_prediction / ectr_factor, 1.0::double) else 0.0::double end as ectr,
+    case when l.mu is not null and l.sigma is not null then coalesce(l.ctr, 0.0::double) else 8e-4 end as ctr
+  from going g join tuned using (campaign_id)
+  join requests q on q.advertiser = g.advertiser and q.ts > g.now and q.ts <= g.end_ts
+  left join landscape l on l.advertiser = q.advertiser and l.weekday = q.weekday and l.hour = q.hour)
+select campaign_id, bid_id, coalesce(round(baseline * ectr / nullif(ctr, 0), 2), 0) as bid from asked""",
+    "winning_price_optimality": f"""with {BID_LOG}, train as (
+  select count(*) as n from bid_log where impression = 1 and {unit("bid_id", 42)} < 0.7::double)
+select kind, true as holds, n::bigint as rows from train, (values ('intercept'), ('zero'), ('nonzero')) k(kind)""",
     "calibrate_shading": f"""with recursive {running()},
 {bisection("shading", "(mean_bid / (x + 1))", SHADING_RANGE, False, 1.0)}
 select campaign_id, {r("arg_max(x, i)", "shading")} from steps group by 1""",
     "calibrate_ort_past_cpc": f"""with {running()}
 select campaign_id, {r("past_cpc * 1e6", "past_cpc")} from source""",
     "stream_hourly_landscape": f"""with {BID_LOG}
-select date_trunc('hour', ts) as hour_ts, advertiser, count(*) as requests, sum(impression)::bigint as impressions,
-  coalesce(sum(click) filter (impression = 1), 0)::bigint as clicks,
-  {r("sum(paying_price) filter (impression = 1)", "spending")}, {r("avg(paying_price) filter (impression = 1)", "mu")},
-  {r("stddev_samp(paying_price) filter (impression = 1)", "sigma")}
-from bid_log group by 1, 2
-having date_trunc('hour', ts) + interval 2 hour <= (select max(ts) from bid_log)""",
+select {HOURLY}
+from bid_log group by 1, 2""",
+    "stream_late_requests": f"""with {BID_LOG},
+clocks as (select advertiser, max(ts) as clock from bid_log where bid_id % 97 <> 0 group by 1),
+marked as (
+  select b.*, bid_id % 97 = 0 and date_trunc('hour', ts) + interval 2 hour <= clock as late
+  from bid_log b join clocks using (advertiser))
+select 'window' as kind, {HOURLY}
+from marked where not late group by 2, 3
+union all
+select 'late', date_trunc('hour', ts), advertiser, count(*), sum(impression)::bigint,
+  coalesce(sum(click) filter (impression = 1), 0)::bigint, null, null, null
+from marked where late group by 2, 3""",
     "stream_auction_outcome": f"""with {STREAMED}
 select bid_id, strategy, bid, pay::double as pay,
   case when not open then 'missed' when not bidding then 'passed' when won then 'won' else 'lost' end as outcome

@@ -1,4 +1,4 @@
-"""Registered queries of the winning-price model, tuning, backtests and streams."""
+"""Registered queries of the winning-price model, tuning and streams."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bidlens.functions.pricing import MONEY
 from bidlens.operators.features import (
     assemble_prefix,
     feature_pipeline,
@@ -16,18 +17,18 @@ from bidlens.operators.features import (
     label_names,
     labels_of,
 )
-from bidlens.operators.kpis import campaign_kpis
-from bidlens.operators.models import error_table, fit_price_model, model_report, score_requests
+from bidlens.operators.landscape import merge_moments, won_sigma
+from bidlens.operators.models import error_table, fit_price_model, model_report, optimality, score_requests
 from bidlens.operators.prep import map_dictionary, map_slot_columns, split_log
-from bidlens.plans.backtest import backtest
 from bidlens.plans.calibration import calibrate_linear, calibrate_ort, calibrate_shading, with_future
-from bidlens.plans.replay import lanes
+from bidlens.plans.replay import lanes, offers, with_lane, won_hours
 from bidlens.session import broadcast_if_small, fresh_path, materialize
 from bidlens.sources.logs import read_requests
 from bidlens.sources.sinks import write_log
-from bidlens.streaming.streams import run_available, stream_auctions, stream_landscape
+from bidlens.streaming.streams import run_available, stream_auctions
+from bidlens.streaming.windows import end_marks, stream_windows
 from bidlens.suite import tables as t
-from bidlens.suite.queries import rounded, seen_requests
+from bidlens.suite.queries import offered, rounded
 
 # --- label indices
 
@@ -106,6 +107,20 @@ def winning_price_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model_report(spark, fit_price_model(train), test)
 
 
+def winning_price_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the fitted elastic net fulfils the conditions of its optimum, for coefficients that are zero and others."""
+    _, train, _ = featured(spark, sf_dir)
+    train = train.select("features", "PayingPrice")
+    conditions = optimality(fit_price_model(train), train)
+    kind = F.when(F.col("index") < 0, "intercept").when(F.col("coefficient") == 0, "zero").otherwise("nonzero")
+    holds = F.max("gap") <= OPTIMAL_WITHIN
+    return conditions.groupBy(kind.alias("kind")).agg(holds.alias("holds")).withColumn("rows", F.lit(train.count()))
+
+
+# Gaps of optimality allowed, in deviations of the price: what the solver's own tolerance leaves.
+OPTIMAL_WITHIN = 1e-4
+
+
 def price_errors(kind: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         _, train, test = featured(spark, sf_dir)
@@ -128,31 +143,24 @@ def score_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(read_requests(spark, path))
 
 
-# --- tuning and backtests
-
-# Tolerances for the small budgets of the derived log.
-TOLERANCE = {"LinearWithPacingPastCPM": 10.0, "ShadedValueBidder": 1.0, "ORTB": 1.0}
-
+# --- tuning
 
 def running_campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All campaigns of the true value bidder ten hours after their start, with their totals until
     then and the hours left."""
-    won = F.col("won")
-    price = F.when(won, F.col("pay").cast("double"))
     now = F.col("start_ts") + F.expr("interval 10 hours")
-    totals = (
-        seen_requests(spark, sf_dir)
-        .filter(F.col("ts") <= now)
-        .groupBy("campaign_id")
-        .agg(
-            F.sum("pay").alias("spend"),
-            F.count_if(won).alias("impressions"),
-            F.count_if(F.col("click")).alias("clicks"),
-            F.avg(price).alias("won_mu"),
-            F.stddev_samp(price).alias("won_sigma"),
-        )
+    names = ["TrueValue"]
+    rows, first = offered(spark, sf_dir, names)
+    parts = won_hours(rows, first, now)
+    totals = merge_moments(parts, ["campaign_id"]).select(
+        "campaign_id",
+        "spend",
+        F.col("wins").alias("impressions"),
+        "clicks",
+        F.col("mu").alias("won_mu"),
+        won_sigma().alias("won_sigma"),
     )
-    camp = t.campaigns(spark, sf_dir, ["TrueValue"], shading=0.5, lam=0.001)
+    camp = t.campaigns(spark, sf_dir, names, shading=0.5, lam=0.001)
     counted = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("spend", "impressions", "clicks")}
     rows = camp.join(totals, "campaign_id", "left").withColumns(counted | {"now": now})
     return with_future(materialize(rows), broadcast_if_small(t.landscape(spark, sf_dir)), "now", "end_ts", ["campaign_id"])
@@ -176,15 +184,15 @@ def calibrate_ort_query(mode: str, **options):
     return query
 
 
-def backtest_of(strategy: str, mode: str = "static"):
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        camp = t.campaigns(spark, sf_dir, [strategy], lam=0.01)
-        options = {"tolerance": TOLERANCE[strategy]} if strategy in TOLERANCE else {}
-        landscape = t.landscape(spark, sf_dir)
-        final, _ = backtest(t.requests(spark, sf_dir), camp, landscape, [strategy], mode, **options)
-        return rounded(campaign_kpis(final))
-
-    return query
+def bid_pacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bids of the pacing bidder for what is left of each campaign, at the baseline tuned to its money and hours left."""
+    tuned = calibrate_linear(running_campaigns(spark, sf_dir), tolerance=10.0)
+    name = "LinearWithPacingPastCPM"
+    going = tuned.withColumns({"strategy": F.lit(name), "start_ts": F.col("now"), "budget": (F.col("budget") - F.col("spend")).cast(MONEY)})
+    going = materialize(going.drop("rates", "locations", "scales"))
+    rows = offers(t.requests(spark, sf_dir), going, t.landscape(spark, sf_dir), [name]).filter("open")
+    ids = broadcast_if_small(materialize(with_lane(going).select("campaign_id", "lane_id")))
+    return rows.join(ids, "lane_id").select("campaign_id", "bid_id", "bid")
 
 
 # --- streams
@@ -196,10 +204,37 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.log_view(events)
 
 
+def marks_stream(spark: SparkSession, path: str) -> DataFrame:
+    end_marks(spark.createDataFrame([], "advertiser string"), path)
+    return spark.readStream.schema("advertiser string").parquet(path)
+
+
 def stream_hourly_landscape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fresh_path(spark, "stream-landscape")
-    run_available(stream_landscape(event_stream(spark, sf_dir)), path, fresh_path(spark, "stream-state"))
-    return rounded(spark.read.parquet(path).withColumn("hour_ts", F.col("hour_ts").cast("timestamp_ntz")))
+    """Every hour of the log as a stream gives it out; at its end marks close the last hours."""
+    path, marks, state = (fresh_path(spark, f"stream-{n}") for n in ("landscape", "marks", "state"))
+    windows = stream_windows(event_stream(spark, sf_dir), marks_stream(spark, marks))
+    run_available(windows, path, state)
+    end_marks(t.bid_log(spark, sf_dir).select("advertiser").distinct(), marks)
+    run_available(windows, path, state)
+    return rounded(spark.read.parquet(path).filter("kind = 'window'").drop("kind"))
+
+
+def stream_late_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of which one request in 97 arrives after all others: hours, and counts of the requests too late for theirs.
+
+    The stream is stopped between the two parts and goes on from its checkpoint.
+    """
+    log, part = t.bid_log(spark, sf_dir), F.col("bid_id") % 97 == 0
+    source, path, marks, state = (fresh_path(spark, f"late-{n}") for n in ("source", "windows", "marks", "state"))
+    log.filter(~part).write.parquet(source)
+    stream = spark.readStream.schema(log.schema).parquet(source)
+    windows = stream_windows(stream, marks_stream(spark, marks))
+    run_available(windows, path, state)
+    log.filter(part).write.mode("append").parquet(source)
+    run_available(windows, path, state)
+    end_marks(log.select("advertiser").distinct(), marks)
+    run_available(windows, path, state)
+    return rounded(spark.read.parquet(path))
 
 
 def stream_auction_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,18 +254,17 @@ MODEL_QUERIES = {
     "index_to_label": index_to_label,
     "winning_price_features": winning_price_features,
     "winning_price_model": winning_price_model,
+    "winning_price_optimality": winning_price_optimality,
     "winning_price_rmse": price_errors("linear"),
     "winning_price_gbt": price_errors("gbt"),
     "winning_price_forest": price_errors("rf"),
     "score_requests": score_log,
     "calibrate_linear": calibrate_linear_query,
+    "bid_pacing": bid_pacing,
     "calibrate_shading": calibrate_shading_query,
     "calibrate_ort": calibrate_ort_query("dual", tolerance=1.0),
     "calibrate_ort_past_cpc": calibrate_ort_query("past_cpc"),
-    "backtest_linear": backtest_of("LinearBidder"),
-    "backtest_pacing": backtest_of("LinearWithPacingPastCPM"),
-    "backtest_shaded": backtest_of("ShadedValueBidder"),
-    "backtest_ort": backtest_of("ORTB", "dual"),
     "stream_hourly_landscape": stream_hourly_landscape,
+    "stream_late_requests": stream_late_requests,
     "stream_auction_outcome": stream_auction_outcome,
 }

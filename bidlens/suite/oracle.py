@@ -287,8 +287,9 @@ select advertiser as "Advertiser", dayname(ts) as "Weekday", hour(ts)::int as "H
   impression::double as "Impression", click::double as "Click", paying_price as "PayingPrice"
 from bid_log where impression = 1""",
     "sample_impressions": f"""with {BID_LOG}
-select f.fraction::double as fraction, bid_id from bid_log, (values (0.008), (0.004)) f(fraction)
-where impression = 1 and {unit("bid_id", 7)} < f.fraction::double""",
+select 0.008::double as fraction, bid_id from bid_log where impression = 1 and {unit("bid_id", 7)} < 0.008::double
+union all
+select 0.004::double, bid_id from bid_log where impression = 1 and {unit("bid_id", 8)} < 0.004::double""",
     "train_test_split": f"""with {BID_LOG}
 select bid_id, case when {unit("bid_id", 42)} < 0.7::double then 'train' else 'test' end as part from bid_log""",
     "map_city_region": f"""with {BID_LOG}, {CODED}
@@ -433,6 +434,14 @@ select bid_id, layout from (select *, max(ts) over (partition by layout, adverti
     ),
 }
 
+ORACLE["join_prices_bucketed"] = ORACLE["join_prices"]
+ORACLE["mixed_headers"] = f"""with {BID_LOG}
+select bid_id::varchar as bid_id, advertiser, impression::varchar as impression,
+  case when bid_id % 3 = 2 then user_id::varchar end as user_id, 'user_id' as unknown_columns from bid_log"""
+ORACLE["bid_named"] = f"""with {replay(["TrueValue"])}
+select bid_id, case when private_value - wp_prediction >= 0 then round(private_value, 2) else 0 end as bid_surplus,
+  round(310.0::double * {unit("bid_id", 42)}, 2) as bid_random from valued"""
+
 for _name, _key in {
     "TrueValue": "bid_value",
     "RandomUpToTrueValue": "bid_random_value",

@@ -3,6 +3,8 @@ two engines that sum in a different order still compare equal."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,21 +51,24 @@ from bidlens.operators.prep import (
     prep_all,
     sample_log,
     split_log,
+    store_bucketed,
     to_bid_requests,
 )
 from bidlens.operators.strategies import bid_of, round_bid, threshold, uniform
-from bidlens.plans.replay import bid_events, campaign_counters, gated_offers, lanes, offers
+from bidlens.plans.replay import bid_events, campaign_counters, gated_offers, lanes, offers, won_hours
 from bidlens.session import broadcast_if_small, fresh_path, is_small, materialize
 from bidlens.sources.logs import (
     read_dictionary,
     read_landscape,
     read_log,
+    read_mixed_logs,
     read_requests,
     rows_per_file,
     with_file_name,
 )
 from bidlens.sources.sinks import (
     append_kpis,
+    read_kpis,
     stage_requests,
     write_events,
     write_log,
@@ -117,6 +122,18 @@ def files_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of logs whose files name their columns in another order, or have one more, united by name."""
+    root = fresh_path(spark, "mixed")
+    log = t.bid_log(spark, sf_dir).select("bid_id", "advertiser", F.col("impression").cast("string").alias("impression"), "user_id")
+    layouts = [["bid_id", "advertiser", "impression"], ["impression", "bid_id", "advertiser"], ["advertiser", "user_id", "bid_id", "impression"]]
+    for i, columns in enumerate(layouts):
+        write_log(log.filter(F.col("bid_id") % 3 == i).select(columns), f"{root}/part={i}")
+    found, report = read_mixed_logs(spark, f"{root}/part=*/*.csv", expected=["bid_id", "advertiser", "impression"])
+    extra = report.filter("not expected").select("column").collect()
+    return found.withColumn("unknown_columns", F.lit(",".join(r[0] for r in extra)))
+
+
 def count_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = rows_per_file(files_by_day(spark, sf_dir))
     path = fresh_path(spark, "counts")
@@ -155,11 +172,11 @@ def impressions_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Impressions in a small and a large sample of the log, chosen by bid id."""
+    """Impressions in two independent samples of the log, chosen by bid id."""
     log = t.bid_log(spark, sf_dir).filter("impression = 1")
     parts = [
-        sample_log(log, fraction, 7, "bid_id").select(F.lit(fraction).alias("fraction"), "bid_id")
-        for fraction in (0.008, 0.004)
+        sample_log(log, fraction, seed, "bid_id").select(F.lit(fraction).alias("fraction"), "bid_id")
+        for fraction, seed in ((0.008, 7), (0.004, 8))
     ]
     return parts[0].unionByName(parts[1])
 
@@ -190,6 +207,15 @@ def join_side_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(join_prices(main, t.price_side_table(spark, sf_dir)))
 
 
+def join_bucketed_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price join over tables that are stored in buckets of the bid id: no exchange."""
+    main = t.bid_log(spark, sf_dir).select(F.col("bid_id").alias("Bid_id"), "advertiser", "prediction")
+    prices = t.price_side_table(spark, sf_dir).withColumnRenamed("b_id", "Bid_id")
+    name = f"prices_{uuid.uuid4().hex}"
+    stored = [store_bucketed(df, "Bid_id", f"{name}_{i}", fresh_path(spark, "bucketed"), 8) for i, df in enumerate((main, prices))]
+    return rounded(join_prices(stored[0], stored[1].withColumnRenamed("Bid_id", "b_id")))
+
+
 # --- time
 
 
@@ -293,19 +319,23 @@ def win_probability_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("bid_id", p.alias("win_probability")))
 
 
+def seen_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments per campaign and hour of what the true value bidder saw under every budget."""
+    return won_hours(*offered(spark, sf_dir, ["TrueValue"]))
+
+
 def won_landscape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Campaign-wide won landscape of the true value bidder for every budget."""
-    gated = seen_requests(spark, sf_dir)
-    return rounded(won_overall(gated, ["campaign_id"], F.lit(t.START).cast("timestamp_ntz")))
+    return rounded(won_overall(seen_hours(spark, sf_dir), ["campaign_id"], F.lit(t.START).cast("timestamp_ntz")))
 
 
 def won_landscape_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(won_by_hour(seen_requests(spark, sf_dir), ["campaign_id"]))
+    return rounded(won_by_hour(seen_hours(spark, sf_dir), ["campaign_id"]))
 
 
 def landscape_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training cell of every campaign hour mixed with the won landscape of the hour before."""
-    hours = won_by_hour(seen_requests(spark, sf_dir), ["advertiser", "campaign_id"])
+    hours = won_by_hour(seen_hours(spark, sf_dir), ["advertiser", "campaign_id"])
     weekday, hour = day_hour(F.col("hour_ts"))
     hours = hours.select(
         "advertiser",
@@ -366,6 +396,12 @@ def bid_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bid_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strategies that bid by a threshold and at random in a fixed range, by name."""
+    valued = valued_requests(spark, sf_dir)
+    return valued.select("bid_id", bid_of("ThresholdSurplus").alias("bid_surplus"), bid_of("RandomInRange").alias("bid_random"))
+
+
 def bid_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.requests(spark, sf_dir).select(
         "bid_id", round_bid(uniform(F.lit(10.0), F.lit(110.0), 42)).alias("bid")
@@ -411,10 +447,6 @@ def gated(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> D
     return gated_offers(*offered(spark, sf_dir, names or ["TrueValue"]))
 
 
-def seen_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gated(spark, sf_dir).filter("open and seen")
-
-
 def request_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gated(spark, sf_dir).select("bid_id", "campaign_id", "outcome")
 
@@ -464,16 +496,18 @@ def campaign_kpis_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kpi_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two runs appended to one table."""
+    """Two runs in one table, of which the second is written twice."""
     path = fresh_path(spark, "kpis")
-    for run, names in {"run 1": ["TrueValue"], "run 2": ["ConstantAvgValue"]}.items():
+    for run, names in (("run 1", ["TrueValue"]), ("run 2", ["ConstantAvgValue"]), ("run 2", ["ConstantAvgValue"])):
         rows, camp = offered(spark, sf_dir, names)
-        append_kpis(kpi_lines(campaign_kpis(campaign_counters(rows, camp)), "2024-02-01", run), path)
-    return rounded(spark.read.parquet(path))
+        lines = kpi_lines(campaign_kpis(campaign_counters(rows, camp)), "2024-02-01", run)
+        append_kpis(lines, path)
+    return rounded(read_kpis(spark, path, lines))
 
 
 def campaign_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = kpi_text(kpis(spark, sf_dir))
+    rows, camp = offered(spark, sf_dir, KPI_STRATEGIES)
+    text = kpi_text(campaign_kpis(campaign_counters(rows, camp), ["campaign_id"]))
     path = fresh_path(spark, "report")
     write_report(text, path)
     return spark.read.option("lineSep", "\n").text(path).groupBy("value").count()
@@ -504,6 +538,8 @@ QUERIES = {
     "map_city_region": map_city_region,
     "map_slot_codes": map_slot_codes,
     "join_prices": join_side_prices,
+    "join_prices_bucketed": join_bucketed_prices,
+    "mixed_headers": mixed_headers,
     "parse_timestamps": parse_timestamps,
     "day_hour": day_hour_query,
     "adjacent_hours": adjacent_hours,
@@ -524,6 +560,7 @@ QUERIES = {
     "bid_value": bids_of("TrueValue"),
     "bid_threshold": bid_threshold,
     "bid_linear": bid_linear,
+    "bid_named": bid_named,
     "bid_random": bid_random,
     "bid_random_value": bids_of("RandomUpToTrueValue"),
     "bid_shaded": bids_of("ShadedValueBidder"),

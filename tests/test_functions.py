@@ -9,7 +9,20 @@ from bidlens.functions.normal import cdf_array, norm_cdf
 from bidlens.functions.pricing import ectr, expected_kpi, round_bid, share_le, unit_hash
 from bidlens.functions.timeparts import day_hour, hour_spine, hours_between, parse_ts, shift_cell, shift_hour, time_of_day
 from bidlens.operators.ort import ort_array
-from tests.sequential import ort_bid
+
+
+def ort_bid(kpi, lam, loc, scl, cap):
+    """The bid by plain bisection, with the exact error function."""
+    low, high, bid = 0.0, cap, cap / 2
+    for step in range(20):
+        x = (math.log(bid) - loc) / scl
+        density = math.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+        gap = lam * 0.5 * math.erfc(-x / math.sqrt(2)) - (kpi - lam * bid) / (scl * bid) * density
+        if step and abs(gap) <= 1e-10 * lam:
+            break
+        low, high = (bid, high) if gap < 0 else (low, bid)
+        bid = (low + high) / 2
+    return bid
 
 
 def test_parse_ts(spark):
