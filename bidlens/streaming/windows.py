@@ -21,22 +21,22 @@ HOUR = 3_600_000_000
 END_OF_STREAM = 2**62
 EPOCH = "1970-01-01"
 
-PARTIAL = "advertiser string, hour long, latest long, requests long, impressions long, clicks long, spending double, mu double, squares double"
+PARTIAL = "advertiser string, hour long, latest long, requests long, impressions long, clicks long, priced long, spending double, mu double, squares double"
 STATE = "clock long, hours string"
 RESULT = "kind string, advertiser string, hour long, requests long, impressions long, clicks long, spending double, mu double, sigma double"
 COUNTS = ["requests", "impressions", "clicks"]
 
 
 def _merged(a: list[float] | None, b: list[float]) -> list[float]:
-    """Counts, spending, mean price and squared distances from it, of two disjoint sets of requests."""
+    """Counts (the last: known prices), spending, mean price and squared distances from it, of two disjoint sets of requests."""
     if a is None:
         return list(b)
-    n = a[1] + b[1]
-    counts = [x + y for x, y in zip(a[:4], b[:4])]
-    if not (a[1] and b[1]):
-        return counts + (a[4:] if a[1] else b[4:])
-    apart = b[4] - a[4]
-    return [*counts, a[4] + apart * b[1] / n, a[5] + b[5] + apart * apart * a[1] * b[1] / n]
+    n = a[3] + b[3]
+    sums = [x + y for x, y in zip(a[:5], b[:5])]
+    if not (a[3] and b[3]):
+        return sums + (a[5:] if a[3] else b[5:])
+    apart = b[5] - a[5]
+    return [*sums, a[5] + apart * b[3] / n, a[6] + b[6] + apart * apart * a[3] * b[3] / n]
 
 
 def _partials(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,8 +47,8 @@ def _partials(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         click = batch["click"].where(won, 0)
         made = pd.DataFrame({"advertiser": batch["advertiser"], "hour": batch["us"] // HOUR * HOUR, "us": batch["us"], "won": won, "click": click, "price": price})
         groups = made.groupby(["advertiser", "hour"], dropna=False, sort=True)
-        out = groups.agg(latest=("us", "max"), requests=("us", "size"), impressions=("won", "sum"), clicks=("click", "sum"), spending=("price", "sum"), mu=("price", "mean"), spread=("price", lambda x: x.var(ddof=0))).reset_index()
-        out["squares"] = (out["spread"] * groups["price"].count().to_numpy()).fillna(0.0)
+        out = groups.agg(latest=("us", "max"), requests=("us", "size"), impressions=("won", "sum"), clicks=("click", "sum"), priced=("price", "count"), spending=("price", "sum"), mu=("price", "mean"), spread=("price", lambda x: x.var(ddof=0))).reset_index()
+        out["squares"] = (out["spread"] * out["priced"]).fillna(0.0)
         yield out.fillna({"mu": 0.0}).drop(columns="spread").astype({"impressions": "int64", "clicks": "int64"})
 
 
@@ -63,7 +63,7 @@ def _advance(lateness: int):
                 clock = row.latest if clock is None else max(clock, row.latest)
                 if not row.requests:
                     continue
-                values = [int(row.requests), int(row.impressions), int(row.clicks), float(row.spending), float(row.mu), float(row.squares)]
+                values = [int(row.requests), int(row.impressions), int(row.clicks), int(row.priced), float(row.spending), float(row.mu), float(row.squares)]
                 if closed is not None and row.hour + HOUR <= closed:
                     late[row.hour] = [a + b for a, b in zip(late.get(row.hour, [0, 0, 0]), values[:3])]
                 else:
@@ -71,9 +71,9 @@ def _advance(lateness: int):
         rows = [("late", key[0], h, *late[h], None, None, None) for h in sorted(late)]
         for h in sorted(hours):
             if h + HOUR <= clock - lateness:
-                requests, won, clicks, spending, mu, squares = hours.pop(h)
-                sigma = float(np.sqrt(squares / (won - 1))) if won > 1 else None
-                rows.append(("window", key[0], h, requests, won, clicks, spending if won else None, mu if won else None, sigma))
+                requests, won, clicks, priced, spending, mu, squares = hours.pop(h)
+                sigma = float(np.sqrt(squares / (priced - 1))) if priced > 1 else None
+                rows.append(("window", key[0], h, requests, won, clicks, spending if priced else None, mu if priced else None, sigma))
         state.update((int(clock), json.dumps(hours)))
         names = [c.split()[0] for c in RESULT.split(", ")]
         made = pd.DataFrame(rows, columns=names)

@@ -98,7 +98,7 @@ asked as (
   from going g join tuned using (campaign_id)
   join requests q on q.advertiser = g.advertiser and q.ts > g.now and q.ts <= g.end_ts
   left join landscape l on l.advertiser = q.advertiser and l.weekday = q.weekday and l.hour = q.hour)
-select campaign_id, bid_id, coalesce(round(baseline * ectr / nullif(ctr, 0), 2), 0) as bid from asked""",
+select campaign_id, bid_id, {r("coalesce(baseline * ectr / nullif(ctr, 0), 0)", "exact")}, true as near from asked""",
     "winning_price_optimality": f"""with {BID_LOG}, train as (
   select count(*) as n from bid_log where impression = 1 and {unit("bid_id", 42)} < 0.7::double)
 select kind, true as holds, n::bigint as rows from train, (values ('intercept'), ('zero'), ('nonzero')) k(kind)""",

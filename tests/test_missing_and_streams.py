@@ -46,9 +46,9 @@ def test_a_missing_number_does_not_stop_the_features(spark, data, tmp_path):
 def test_optimality_tells_a_fitted_model_from_another(spark, data):
     _, train, _ = featured(spark, data)
     model = fit_price_model(train)
-    assert optimality(model, train.select("features", "PayingPrice")).agg(F.max("gap")).first()[0] < 1e-4
+    assert optimality(model, train.select("features", "PayingPrice")).agg(F.max("gap")).first()[0] < 1e-3
     other = train.select("features", (F.col("PayingPrice") + F.rand(1) * 50).alias("PayingPrice"))
-    assert optimality(model, other).agg(F.max("gap")).first()[0] > 1e-3
+    assert optimality(model, other).agg(F.max("gap")).first()[0] > 2e-3
 
 
 def test_runs_written_twice_count_once(spark, tmp_path):
