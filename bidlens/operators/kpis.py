@@ -127,8 +127,8 @@ REPORT = [
 
 
 def kpi_text(kpis: DataFrame) -> DataFrame:
-    """Readable report of every campaign as one text column; a missing ratio prints as NaN. The key figures
-    need ``campaign_id`` among their parameters."""
+    """Readable report of every campaign as one text column; a missing ratio prints as NaN. Campaigns are named by
+    ``campaign_id`` if the key figures have it among their parameters."""
     types = dict(kpis.dtypes)
 
     def shown(column: str) -> Column:
@@ -137,7 +137,8 @@ def kpi_text(kpis: DataFrame) -> DataFrame:
         return F.col(column) if types[column] == "bigint" else F.col(column).cast("string")
 
     # The id names all that tells campaigns apart, the level of a parameter included.
-    campaign = F.col("campaign_id")
+    named = F.concat_ws("_", "advertiser", F.col("budgetFactor").cast("string"), "strategy")
+    campaign = F.col("campaign_id") if "campaign_id" in types else named
     layout = "Campaign Status\n%s\n\nBidder: %s\n\n" + "\n".join(label for label, _ in REPORT)
     columns = [shown(column) for _, column in REPORT if column]
     return kpis.select(

@@ -21,8 +21,13 @@ def append_kpis(kpis: DataFrame, path: str, run: Sequence[str] = RUN) -> None:
     """Add the KPI rows of a run to a table that collects all runs, in a folder of its own.
 
     A run written again, after a failure or by mistake, replaces its own rows and no others: only the partitions
-    that the rows have are overwritten.
+    that the rows have are overwritten. Rows that name no run have nothing to tell a repetition by, and are
+    plainly appended.
     """
+    run = [c for c in run if c in kpis.columns]
+    if not run:
+        kpis.write.mode("append").parquet(path)
+        return
     kpis.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*run).parquet(path)
 
 
