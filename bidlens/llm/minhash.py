@@ -253,6 +253,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose group, linked from ``STAGE_PERCENT`` on, has a document of smaller doc_id."""
+    """``docs`` without the documents whose group, linked from ``STAGE_PERCENT`` on, has a document of smaller doc_id.
+
+    Documents with a null or empty text, or a null doc_id, stay; rows under one doc_id stay or go together; an empty table
+    stays empty; all columns stay as they are.
+    """
     gone = stored(near_duplicates(docs, STAGE_PERCENT, side=STAGE_SIDE).where("not kept").select("doc_id").distinct(), "near-gone")
     return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)

@@ -368,7 +368,11 @@ def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with the kept bytes as text and their length; characters that lost a byte go."""
+    """``docs`` with the kept bytes as text and their length; characters that lost a byte go.
+
+    A null text stays null, an empty one empty. Repeated rows repeat all their strings, so they lose all that is long
+    enough. No row goes, an empty table stays empty, and all other columns stay as they are.
+    """
 
     def text(kept):
         return [pa.array([k.as_py().decode("utf-8", "ignore") for k in kept], pa.string())]
