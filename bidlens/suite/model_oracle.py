@@ -8,6 +8,7 @@ from bidlens.suite.oracle import (
     CODED,
     DEFAULTED,
     LOCATION,
+    ORACLE,
     SCALE,
     WON,
     r,
@@ -85,6 +86,7 @@ from coded join labels on c_mktsegment = segment""",
     "index_to_label": f"""{SEGMENTS}
 select bid_id::varchar as "Bid_id", segment, index::double as index, segment as name
 from coded join labels on c_mktsegment = segment""",
+    "score_requests": ORACLE["typed_requests"].replace('wp_prediction as "WpPrediction"', "true as scored"),
     "calibrate_linear": f"""with recursive {running()},
 {bisection("bid_level", "x", LINEAR_RANGE, True, 10.0)}
 select campaign_id, {r("arg_max(x, i)", "baseline")} from steps group by 1""",

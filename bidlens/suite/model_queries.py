@@ -135,13 +135,19 @@ def price_errors(kind: str):
 
 
 def score_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features and model stored and loaded, the whole log scored, written and read as requests."""
+    """Features and model stored and loaded, the whole log scored, written and read as requests.
+
+    The price itself is the model's, so the query tells for every request whether it has a finite one.
+    """
     features, train, _ = featured(spark, sf_dir)
     model = fit_price_model(train)
     at, path = fresh_path(spark, "features"), fresh_path(spark, "scored")
     features.write().overwrite().save(at)
     write_log(score_requests(PipelineModel.load(at), model, training_log(spark, sf_dir)), path, mode="overwrite")
-    return rounded(read_requests(spark, path))
+    price = F.col("WpPrediction")
+    scored = (price.isNotNull() & ~F.isnan(price) & (F.abs(price) < float("inf"))).alias("scored")
+    back = read_requests(spark, path)
+    return rounded(back.select(*[c for c in back.columns if c != "WpPrediction"], scored))
 
 
 # --- tuning

@@ -33,7 +33,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of the documents and ``token_ids``, the ids as little-endian unsigned 32-bit integers."""
+    """The columns of the documents and ``token_ids``, the ids as little-endian unsigned 32-bit integers.
+
+    A null or empty text has no ids; repeated rows are encoded alike; an empty table stays empty.
+    """
     return encode(docs, *vocabulary())
 
 
