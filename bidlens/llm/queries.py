@@ -5,7 +5,7 @@ from __future__ import annotations
 from bidlens.llm.bpe import op3_bpe
 from bidlens.llm.forest import OP4_SQL, op4_forest
 from bidlens.llm.licenses import op10_licenses
-from bidlens.llm.minhash import op1_minhash
+from bidlens.llm.minhash import OP1_SQL, op1_minhash
 from bidlens.llm.mixing import op2_mixing
 from bidlens.llm.negatives import OP11_SQL, op11_negatives
 from bidlens.llm.phrases import OP13_SQL, op13_phrases
@@ -20,4 +20,4 @@ LLM_QUERIES = {
     f.__name__: f
     for f in (op1_minhash, op2_mixing, op3_bpe, op4_forest, op5_toxicity, op6_topk, op7_suffix, op8_url_filter, op9_sharding, op10_licenses, op11_negatives, op12_warc, op13_phrases)
 }
-LLM_ORACLE = {"op4_forest": OP4_SQL, "op6_topk": OP6_SQL, "op11_negatives": OP11_SQL, "op12_warc": OP12_SQL, "op13_phrases": OP13_SQL}
+LLM_ORACLE = {"op1_minhash": OP1_SQL, "op4_forest": OP4_SQL, "op6_topk": OP6_SQL, "op11_negatives": OP11_SQL, "op12_warc": OP12_SQL, "op13_phrases": OP13_SQL}
