@@ -36,22 +36,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return the memory of a worker that it no longer needs; a worker may wait long for its next task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def trimmed(run: Callable) -> Callable:
-    """``run`` over Arrow batches, after which a worker that waits for its next task gives back the memory it no longer needs."""
+    """``run`` over Arrow batches, after which the worker gives back memory."""
 
     @functools.wraps(run)
     def wrapped(batches) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            give_back()
 
     return wrapped
 
 
+def settled(make: Callable, *args) -> pa.Table:
+    """The result of ``make`` for one group, after which the worker gives back memory."""
+    out = make(*args)
+    give_back()
+    return out
+
+
 def add_columns(df: DataFrame, inputs: list[str], outputs: list[StructField], make: Callable) -> DataFrame:
     """Append columns computed by ``make(*arrow arrays) -> arrow arrays``; columns of the same name are replaced."""
     small_batches(df.sparkSession)

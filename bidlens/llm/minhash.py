@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from bidlens.llm.common import UPPER, add_columns, connected, stored, table, text_of, trimmed
+from bidlens.llm.common import UPPER, add_columns, connected, settled, stored, table, text_of, trimmed
 from bidlens.session import broadcast_if_small
 
 # Words of a shingle, and the least similarity of a link in percent.
@@ -187,7 +187,7 @@ def _linked_in_blocks(rows: DataFrame, full: DataFrame, percent: int) -> DataFra
         return pa.table([pa.array([f[c] for f in found], pa.int64()) for c in range(2)], names=["a", "b"])
 
     schema = StructType([StructField("a", LongType()), StructField("b", LongType())])
-    return held.groupBy("a", "low", "high").applyInArrow(compare, schema)
+    return held.groupBy("a", "low", "high").applyInArrow(lambda key, group: settled(compare, key, group), schema)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, side: int = SIDE, hashes: int = HASHES) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from bidlens.llm.common import add_columns, small_batches, stored, table, text_of, trimmed
+from bidlens.llm.common import add_columns, settled, small_batches, stored, table, text_of, trimmed
 
 # Bytes of a repeated string, and of the k-gram that anchors it.
 LENGTH = 200
@@ -291,7 +291,7 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             rows += [(int(h[i]), int(sd[i]), a, b) for a, b in _ranges(flags[i])]
         return pa.table([pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], names=result.names)
 
-    parts = few.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets))).groupBy("bucket").applyInArrow(compare, result)
+    parts = few.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets))).groupBy("bucket").applyInArrow(lambda group: settled(compare, group), result)
 
     # An anchor with very many kinds of segments would be one large group: its windows are counted one by one.
     def windows_of(batches):
