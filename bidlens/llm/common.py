@@ -7,7 +7,7 @@ import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -64,22 +64,40 @@ def settled(make: Callable, *args) -> pa.Table:
     return out
 
 
+def set_aside(df: DataFrame, names: list[str], text: str) -> DataFrame:
+    """(row, text): a struct of the columns ``names`` but ``text`` under numbers, whatever their names, and the text beside it."""
+    parts = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != text]
+    return df.select(F.struct(F.lit(1).alias("n"), *parts).alias("row"), F.col(f"`{text}`").alias("text"))
+
+
+def put_back(names: list[str], text: str) -> list[Column]:
+    """The columns ``names`` of a table made by ``set_aside``."""
+    return [F.col("text").alias(c) if c == text else F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)]
+
+
 def add_columns(df: DataFrame, inputs: list[str], outputs: list[StructField], make: Callable) -> DataFrame:
-    """Append columns computed by ``make(*arrow arrays) -> arrow arrays``; columns of the same name are replaced."""
+    """Append columns computed by ``make(*arrow arrays) -> arrow arrays``; columns of the same name are replaced.
+
+    An input that stays in the result goes to the worker once.
+    """
     small_batches(df.sparkSession)
     new = {f.name.lower() for f in outputs}
     kept = [c for c in df.columns if c.lower() not in new]
     n = len(kept)
+    place = {c: i for i, c in enumerate(kept)}
+    extra = [c for c in dict.fromkeys(inputs) if c not in place]
+    place |= {c: n + i for i, c in enumerate(extra)}
     mark = "__in_"
     while any(c.lower().startswith(mark) for c in df.columns):
         mark += "_"
-    base = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(f"{mark}{i}") for i, c in enumerate(inputs)])
+    base = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(f"{mark}{i}") for i, c in enumerate(extra)])
     names = [*kept, *(f.name for f in outputs)]
+    used = [place[c] for c in inputs]
 
     def run(batches):
         for batch in batches:
             columns = batch.columns
-            yield pa.RecordBatch.from_arrays([*columns[:n], *make(*columns[n:])], names=names)
+            yield pa.RecordBatch.from_arrays([*columns[:n], *make(*(columns[i] for i in used))], names=names)
 
     return base.mapInArrow(trimmed(run), StructType([*base.schema.fields[:n], *outputs]))
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from bidlens.llm.common import add_columns, settled, small_batches, stored, table, text_of, trimmed
+from bidlens.llm.common import add_columns, put_back, set_aside, settled, small_batches, stored, table, text_of, trimmed
 
 # Bytes of a repeated string, and of the k-gram that anchors it.
 LENGTH = 200
@@ -335,25 +335,31 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
     """
     names = [c for c in docs.columns if c.lower() not in ("n_bytes", "removed", "kept")]
     held = docs.select(F.struct(*[f"`{c}`" for c in names]).alias("row"), F.col(f"`{text}`").alias("text"))
-    keyed = held.withColumn("key", F.xxhash64("text", F.octet_length("text")))
-    starts = repeated_starts(keyed.where(F.octet_length("text") >= length).select("key", "text"), length, gram)
-    spans = stored(starts.distinct().groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "suffix-spans")
-    joined = keyed.join(spans, "key", "left").drop("key")
+    spot = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def apply(texts, lists):
-        sizes, removed, kept = [], [], []
-        for t, s in zip(texts, lists):
-            line = text_of(t.as_py())
-            gone = merged([(x["lo"], x["hi"] + length) for x in s.as_py() or ()])
-            edge = [0, *(e for span in gone for e in span), len(line)]
-            sizes.append(len(line))
-            removed.append([{"start": a, "end": b} for a, b in gone])
-            kept.append(b"".join(line[a:b] for a, b in zip(edge[::2], edge[1::2])))
-        spot = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return [pa.array(sizes, pa.int64()), pa.array(removed, spot), pa.array(kept, pa.binary())]
+        rows = [cut_text(t, s, length) for t, s in zip(texts, lists)]
+        removed = [[{"start": a, "end": b} for a, b in gone] for _, gone, _ in rows]
+        return [pa.array([n for n, _, _ in rows], pa.int64()), pa.array(removed, spot), pa.array([k for _, _, k in rows], pa.binary())]
 
     outputs = [StructField("n_bytes", LongType()), StructField("removed", SPANS), StructField("kept", BinaryType())]
-    return add_columns(joined, ["text", "spans"], outputs, apply).select("row.*", "n_bytes", "removed", "kept")
+    return add_columns(with_spans(held, length, gram), ["text", "spans"], outputs, apply).select("row.*", "n_bytes", "removed", "kept")
+
+
+def cut_text(text: pa.Scalar, spans: pa.Scalar, length: int) -> tuple[int, list[tuple[int, int]], bytes]:
+    """Size of a text in bytes, its removed spans and the bytes that stay."""
+    line = text_of(text.as_py())
+    gone = merged([(x["lo"], x["hi"] + length) for x in spans.as_py() or ()])
+    edge = [0, *(e for span in gone for e in span), len(line)]
+    return len(line), gone, b"".join(line[a:b] for a, b in zip(edge[::2], edge[1::2]))
+
+
+def with_spans(held: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``held`` (any columns and ``text``) with ``spans``, the starts of repeated strings (lo, hi), null where none is."""
+    keyed = held.withColumn("key", F.xxhash64("text", F.octet_length("text")))
+    starts = repeated_starts(keyed.where(F.octet_length("text") >= length).select("key", "text"), length, gram)
+    spans = stored(starts.distinct().groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "suffix-spans")
+    return keyed.join(spans, "key", "left").drop("key")
 
 
 def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,13 +380,14 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     enough. No row goes, an empty table stays empty, and all other columns stay as they are.
     """
 
-    def text(kept):
-        return [pa.array([k.as_py().decode("utf-8", "ignore") for k in kept], pa.string())]
+    def text(texts, lists):
+        return [pa.array([cut_text(t, s, LENGTH)[2].decode("utf-8", "ignore") for t, s in zip(texts, lists)], pa.string())]
 
     names = docs.columns
-    held = remove_repeats(docs.select(F.struct(*[f"`{c}`" for c in names]).alias("doc"), "text")).select("doc", "kept")
-    made = add_columns(held, ["kept"], [StructField("new_text", docs.schema["text"].dataType)], text)
-    fresh = {"text": F.when(F.col("doc.text").isNotNull(), F.col("new_text"))}
+    held = with_spans(set_aside(docs, names, "text"))
+    made = add_columns(held, ["text", "spans"], [StructField("new_text", docs.schema["text"].dataType)], text)
+    fresh = {"text": F.when(F.col("text").isNotNull(), F.col("new_text"))}
     if "n_chars" in names:
-        fresh["n_chars"] = F.when(F.col("doc.text").isNotNull(), F.length("new_text")).otherwise(F.col("doc.n_chars")).cast(docs.schema["n_chars"].dataType)
-    return made.select(*[fresh[c].alias(c) if c in fresh else F.col(f"doc.`{c}`") for c in names])
+        old = put_back(names, "text")[names.index("n_chars")]
+        fresh["n_chars"] = F.when(F.col("text").isNotNull(), F.length("new_text")).otherwise(old).cast(docs.schema["n_chars"].dataType)
+    return made.select(*[fresh[c].alias(c) if c in fresh else old for c, old in zip(names, put_back(names, "text"))])

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from bidlens.llm.common import add_columns, small_batches, stored, table, trimmed
+from bidlens.llm.common import add_columns, put_back, set_aside, small_batches, stored, table, trimmed
 from bidlens.session import broadcast_if_small
 
 # Labelled rows to learn from, at most about; half of them of each class.
@@ -229,11 +229,11 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFram
     if model.trees is None:
         out = docs.select(*kept, F.lit(float(model.base)).alias("score"))
     else:
-        pick = [f"`{c}`" for c in docs.columns if c.lower() not in ("score", "predicted")]
-        held = docs.select(F.struct(*pick).alias("row"), F.col(f"`{text}`").alias("text"))
-        made = featured(held, model.lexicon).drop("text").withColumn("features", array_to_vector("tox_features"))
-        raw = model.trees.transform(made).select("row", vector_to_array("probability")[1].alias("p"))
-        out = model.isotonic.transform(raw).select("row.*", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("score"))
+        # The text goes to the workers once, beside a struct of the other columns, whose names may be any.
+        names = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
+        made = featured(set_aside(docs, names, text), model.lexicon)
+        raw = model.trees.transform(made.withColumn("features", array_to_vector("tox_features"))).select("row", "text", vector_to_array("probability")[1].alias("p"))
+        out = model.isotonic.transform(raw).select(*put_back(names, text), F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -249,4 +249,5 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Rows with a null or empty text are scored by all-zero features; repeated rows go or stay together; an empty table
     stays empty; all columns stay as they are.
     """
-    return score(docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("doc"), "text"), train(docs, labels)).where("predicted = 0").select("doc.*")
+    kept = score(set_aside(docs, docs.columns, "text"), train(docs, labels)).where("predicted = 0")
+    return kept.select(*put_back(docs.columns, "text"))
