@@ -67,26 +67,53 @@ def segments(path: Column) -> Column:
     return F.transform(parts, general)
 
 
+def past_chains(now: DataFrame) -> DataFrame:
+    """``now`` (host, segs, template, level, ...) with every node moved down to the level at which its paths part.
+
+    A node's paths are held against the longest of them: up to the first level at which one differs, the node has one child
+    a level, which is neither rare among many nor merged, so its template is the segments themselves. Paths that end
+    before are complete.
+    """
+    open_ = now.where(F.size("segs") > F.col("level"))
+    longest = open_.groupBy("host", "template").agg(F.max(F.struct(F.size("segs").alias("size"), "segs")).alias("longest"))
+    rest, other = (F.slice(c, F.col("level") + 1, F.size(c)) for c in ("segs", "longest.segs"))
+    differs = F.array_position(F.zip_with(rest, other, lambda a, b: a.eqNullSafe(b)), False).cast("int")
+    parts = F.when((differs > 0) & (differs <= F.size(rest)), F.col("level") + differs - 1)
+    at = open_.join(longest, ["host", "template"]).withColumns({"parts": parts, "most": F.col("longest.size")}).drop("longest")
+    at = stored(at, "url-chains")
+    until = at.groupBy("host", "template").agg(F.coalesce(F.min("parts"), F.max("most")).alias("until"))
+    to = F.least(F.size("segs"), "until")
+    own = F.slice("segs", F.col("level") + 1, F.greatest(F.col("to") - F.col("level"), F.lit(0)))
+    moved = at.join(until, ["host", "template"]).withColumn("to", to)
+    template = F.when(F.col("to") > F.col("level"), F.concat("template", F.lit("/"), F.array_join(own, "/"))).otherwise(F.col("template"))
+    return moved.select("host", "segs", "n", "labelled", "bad", template.alias("template"), F.col("to").alias("level"))
+
+
 def template_tree(pages: DataFrame) -> DataFrame:
     """Templates of distinct (host, segs): rows (host, segs, template, purity, n_labelled).
 
     ``pages`` has host, segs (array of segments) and bad (1, 0 or null where unlabelled). Level by level, a
     node's rare children become ``*`` if it has many, and children whose share of bad labels does not
-    differ from their siblings' are merged into ``~``. Work is on counts per distinct path, combined
-    map-side; a hot host is one row per distinct path there.
+    differ from their siblings' are merged into ``~``. Levels at which a node has one child are passed at
+    once (``past_chains``), so rounds are as many as the levels at which paths part, not as the deepest path has.
+    Work is on counts per distinct path, combined map-side; a hot host is one row per distinct path there.
     """
     every = pages.groupBy("host", "segs").agg(
         F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")
     )
-    now = stored(every.withColumn("template", F.lit("")), "url-paths")
+    now = stored(every.withColumn("template", F.lit("")).withColumn("level", F.lit(0)), "url-paths")
     total = now.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("labelled"), F.lit(0))).first()
     overall = (total[0] + 1.0) / (total[1] + 2.0)
     done = []
-    for level in range(now.agg(F.max(F.size("segs"))).first()[0] or 0):
+    while True:
         # Paths without a further segment are set aside.
-        done.append(now.where(F.size("segs") <= level))
-        at = now.where(F.size("segs") > level).withColumn("seg", F.get("segs", F.lit(level)))
-        child = at.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+        done.append(now.where(F.size("segs") <= F.col("level")))
+        now = stored(past_chains(now), "url-parting")
+        done.append(now.where(F.size("segs") <= F.col("level")))
+        at = now.where(F.size("segs") > F.col("level")).withColumn("seg", F.get("segs", F.col("level")))
+        if at.isEmpty():
+            break
+        child = at.groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
         node = child.groupBy("host", "template").agg(F.count("*").alias("variety"))
         joined = child.join(node, ["host", "template"])
         named = joined.withColumn("name", F.when((F.col("variety") >= VARIETY) & (F.col("n") < SUPPORT), "*").otherwise(F.col("seg")))
@@ -101,11 +128,11 @@ def template_tree(pages: DataFrame) -> DataFrame:
             "host", "template", "name", F.when(alike & (F.col("branches") > 1) & (F.col("name") != "*"), "~").otherwise(F.col("name")).alias("step")
         )
         step = named.select("host", "template", "seg", "name").join(merged, ["host", "template", "name"]).select("host", "template", "seg", "step")
-        now = at.join(step, ["host", "template", "seg"], "left").select(
-            "host", "segs", "n", "labelled", "bad", F.concat("template", F.when(F.col("step").isNotNull(), F.concat(F.lit("/"), "step")).otherwise("")).alias("template")
+        now = at.join(step, ["host", "template", "seg"]).select(
+            "host", "segs", "n", "labelled", "bad", F.concat("template", F.lit("/"), "step").alias("template"), (F.col("level") + 1).alias("level")
         )
-        now = stored(now, f"url-level-{level}")
-    now = stored(reduce(DataFrame.unionByName, done, now), "url-templates")
+        now = stored(now, "url-level")
+    now = stored(reduce(DataFrame.unionByName, done), "url-templates")
     hosts = now.groupBy("host").agg(((F.sum("bad") + PRIOR * overall) / (F.sum("labelled") + PRIOR)).alias("prior"))
     leaf = now.groupBy("host", "template").agg(F.sum("bad").alias("b"), F.sum("labelled").alias("l")).join(hosts, "host")
     purity = leaf.select("host", "template", ((F.col("b") + PRIOR * F.col("prior")) / (F.col("l") + PRIOR)).alias("purity"), F.col("l").alias("n_labelled"))
