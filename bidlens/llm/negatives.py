@@ -18,8 +18,9 @@ from bidlens.session import broadcast_if_small
 SCALE, POSITIVES, NEGATIVES, LOW, HIGH = 256, 5, 3, 50, 95
 # Rows of a block: at least LEAST_ROWS, at most MOST_ROWS, and between them as many as make BLOCKS blocks.
 LEAST_ROWS, MOST_ROWS, BLOCKS = 2048, 65_536, 64
-# Anchors of a cluster at most, and anchors (by hash of the id) that centres are fitted on at most.
-CLUSTER, SAMPLE = 256, 4096
+# Anchors of a cluster at most and, if a label has as many, on average at least; and anchors (by hash of the id) that
+# centres are fitted on at most.
+CLUSTER, LEAST_CLUSTER, SAMPLE = 256, 16, 4096
 # Rows of a list that are scored at once.
 STRETCH = 512
 # Slack of a bound, in products of norms, above the rounding of angles.
@@ -48,14 +49,26 @@ def centres(vectors: np.ndarray, k: int, rounds: int = 8, seed: int = 11) -> np.
     return found
 
 
+def exact_type(left: np.ndarray, right: np.ndarray):
+    """The smallest type in which no inner product of integer rows, nor a part of its sum, is rounded or overflows."""
+    largest = [max(-float(x.min(initial=0)), float(x.max(initial=0))) for x in (left, right)]
+    most = largest[0] * largest[1] * left.shape[1]
+    return next((kind for kind, end in ((np.float32, 2**24), (np.float64, 2**53), (np.int64, 2**63)) if most < end), object)
+
+
 def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer rows: by floating point where no sum can pass 2 ** 53."""
-    most = float(np.abs(left).max(initial=0)) * float(np.abs(right).max(initial=0)) * left.shape[1]
-    if most < 2**53:
-        return (left.astype(np.float64) @ right.astype(np.float64).T).astype(np.int64)
-    if most < 2**63:
-        return left @ right.T
-    return np.array(left.astype(object) @ right.astype(object).T).clip(-(2**63), 2**63 - 1).astype(np.int64)
+    """Exact inner products of integer rows of one ``exact_type``; objects become 64-bit integers."""
+    if left.dtype == object:
+        return np.array(left @ right.T).clip(-(2**63), 2**63 - 1).astype(np.int64)
+    return left @ right.T
+
+
+def within(limit: np.ndarray, kind) -> np.ndarray:
+    """64-bit limits in the type of the scores; one that no score can reach is cut to the least such number."""
+    if kind not in (np.float32, np.float64):
+        return limit
+    end = 2**24 if kind is np.float32 else 2**53
+    return limit.clip(-end, end).astype(kind)
 
 
 def shared_list(rows: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,25 +101,34 @@ def walk(rows, ids, members, own, slot, low, high, k: int, stretch: int = STRETC
     """
     order, bounds = shared_list(rows.astype(np.float64), members.astype(np.float64))
     norms = np.linalg.norm(members.astype(np.float64), axis=1)
+    kind = exact_type(rows, members)
+    rows, members = rows.astype(kind), members.astype(kind)
     kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     floor = low.copy()
     scored = 0
     for at in range(0, len(order), stretch):
-        open_ = norms[slot] * bounds[at] >= floor
-        if not open_.any():
+        open_ = np.nonzero(norms[slot] * bounds[at] >= floor)[0]
+        if not len(open_):
             break
         some = order[at : at + stretch]
         scored += len(some)
-        who, back = np.unique(slot[open_], return_inverse=True)
-        scores = products(rows[some], members[who])[:, back]
-        which = np.nonzero(open_)[0]
-        hit = (scores >= floor[which]) & (scores <= high[which]) & (ids[some][:, None] != own[slot[which]])
-        i, j = np.nonzero(hit)
-        if not len(i):
+        # Open slots by member, and the widest limits of a member: few scores lie within them, and only those meet its slots.
+        open_ = open_[np.argsort(slot[open_], kind="stable")]
+        who, first, count = np.unique(slot[open_], return_index=True, return_counts=True)
+        scores = products(rows[some], members[who])
+        least, most = np.minimum.reduceat(floor[open_], first), np.maximum.reduceat(high[open_], first)
+        i, m = np.nonzero((scores >= within(least, kind)) & (scores <= within(most, kind)))
+        found = scores[i, m].astype(np.int64)
+        times = count[m]
+        i, found = np.repeat(i, times), np.repeat(found, times)
+        j = open_[np.repeat(first[m] - np.cumsum(times) + times, times) + np.arange(len(i))]
+        hit = (found >= floor[j]) & (found <= high[j]) & (ids[some][i] != own[slot[j]])
+        if not hit.any():
             continue
-        s = np.concatenate([kept[0], which[j]])
+        i, j, found = i[hit], j[hit], found[hit]
+        s = np.concatenate([kept[0], j])
         v = np.concatenate([kept[1], ids[some][i]])
-        x = np.concatenate([kept[2], scores[i, j]])
+        x = np.concatenate([kept[2], found])
         by = np.lexsort([v, -x, s])
         s, v, x = s[by], v[by], x[by]
         first = np.concatenate([[True], s[1:] != s[:-1]])
@@ -190,13 +212,23 @@ def matrix_of(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _clustered(anchors: DataFrame) -> DataFrame:
-    """``anchors`` with ``cell``, the nearest centre, and ``part``, which splits large cells."""
+    """``anchors`` with ``cell``, the nearest centre, and ``part``, which splits large cells.
+
+    A cluster is a cell of one label, so there are fewer centres where there are many labels: every block sorts its rows
+    for every cluster, however small.
+    """
     n = max(1, anchors.count())
-    draw = F.pmod(F.xxhash64("row_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / n))
+    share = min(1.0, SAMPLE / n)
+    draw = F.pmod(F.xxhash64("row_id"), F.lit(1_000_000)) < int(1_000_000 * share)
     found: dict[int, list] = {}
-    for r in anchors.where(draw).select("dim", "vector").limit(2 * SAMPLE).collect():
+    labels: dict[int, set] = {}
+    for r in anchors.where(draw).select("dim", "label", "vector").limit(2 * SAMPLE).collect():
         found.setdefault(r["dim"], []).append(r["vector"])
-    cells = {d: centres(np.array(v, np.float64).reshape(len(v), d), max(1, len(v) // 16)) for d, v in found.items()}
+        labels.setdefault(r["dim"], set()).add(r["label"])
+    cells = {}
+    for d, v in found.items():
+        k = min(len(v) / LEAST_CLUSTER, len(v) / share / (LEAST_CLUSTER * len(labels[d])))
+        cells[d] = centres(np.array(v, np.float64).reshape(len(v), d), max(1, int(k)))
     shared = anchors.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches):

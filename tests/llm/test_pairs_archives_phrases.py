@@ -85,6 +85,35 @@ def test_bounds_hold_for_every_member():
     assert (np.diff(bounds) <= 0).all()
 
 
+def test_clusters_hold_several_anchors_of_a_label(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, f"l{i % 10}", 4, rng.integers(-200, 200, size=4).tolist()) for i in range(800)]
+    df = spark.createDataFrame(rows, "row_id long, label string, dim int, vector array<long>")
+    found = negatives._clustered(df)
+    assert found.select("row_id").distinct().count() == found.count() == 800
+    clusters = found.select("label", "cell", "part").distinct().count()
+    # Every block sorts its rows once per cluster.
+    assert 10 < clusters <= 800 / negatives.LEAST_CLUSTER
+
+
+@pytest.mark.parametrize("most", [3, 300, 2**11, 2**25, 2**30])
+def test_a_walk_keeps_each_slots_limits(most):
+    rng = np.random.default_rng(most)
+    rows, members = (rng.integers(-most, most + 1, size=(n, 4)) for n in (700, 9))
+    rows[100:200] = rows[300]
+    ids = rng.permutation(700) // 2
+    slot = np.array([3, 0, 0, 5, 3, 8, 8, 8, 1])
+    scores = (rows @ members.T)[:, slot]
+    low, high = np.quantile(scores, 0.4, axis=0).astype(np.int64), np.quantile(scores, [0.9], axis=0)[0].astype(np.int64)
+    low[1], high[1] = -(2**62), 2**62
+    low[2] = high[2] = scores[300, 2]
+    own = np.arange(9) * 10
+    s, v, x, _ = negatives.walk(rows, ids, members, own, slot, low, high, 3, stretch=64)
+    for j in range(len(slot)):
+        fit = sorted((-t, i) for t, i in zip(scores[:, j].tolist(), ids.tolist()) if low[j] <= t <= high[j] and i != own[slot[j]])
+        assert sorted(zip((-x[s == j]).tolist(), v[s == j].tolist())) == fit[:3] and fit
+
+
 # --- archives
 
 
