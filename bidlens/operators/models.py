@@ -14,6 +14,8 @@ from bidlens.operators.features import fill_categories
 from bidlens.sources.schemas import REQUEST_COLUMNS
 
 LABEL, PREDICTION = "PayingPrice", "WpPrediction"
+# Tree learners keep four bytes per feature and row; a partition holds at most about so many bytes of them.
+PART_BYTES = 64 * 2**20
 
 
 def regressor(kind: str):
@@ -29,8 +31,21 @@ def regressor(kind: str):
     raise ValueError(f"no such model: {kind}")
 
 
+def in_parts(train: DataFrame) -> DataFrame:
+    """``train`` dealt evenly to so many partitions that each holds at most about ``PART_BYTES`` when its features are binned.
+
+    A column file of few bytes is one partition, but tree learners keep each row as one number per feature, empty ones too,
+    and read a partition of them in one task for every level of a tree. Rows that fit one partition stay as they are.
+    """
+    first = train.select("features").first()
+    size = max(1, first["features"].size) if first else 1
+    parts = -(-4 * size * train.count() // PART_BYTES)
+    return train.repartition(parts) if parts > 1 else train
+
+
 def fit_price_model(featured: DataFrame, kind: str = "linear") -> Model:
-    return regressor(kind).fit(featured.select("features", LABEL))
+    train = featured.select("features", LABEL)
+    return regressor(kind).fit(in_parts(train) if kind == "gbt" else train)
 
 
 def rmse(scored: DataFrame) -> float:

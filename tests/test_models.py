@@ -1,5 +1,6 @@
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from bidlens.operators.features import (
@@ -9,6 +10,7 @@ from bidlens.operators.features import (
     label_index,
     labels_of,
 )
+from bidlens.operators import models
 from bidlens.operators.models import fit_price_model, regressor, rmse
 from bidlens.session import fresh_path
 from bidlens.suite.model_queries import training_log
@@ -61,3 +63,31 @@ def test_linear_model_learns(spark, fitted):
     assert rmse(model.transform(train)) < 10 and model.coefficients.numNonzeros() > 0
     with pytest.raises(ValueError):
         regressor("net")
+
+
+class Counting:
+    """A learner that tells the rows of each partition it is given."""
+
+    def fit(self, train):
+        return sorted(r[1] for r in train.groupBy(F.spark_partition_id()).agg(F.count("*")).collect())
+
+
+@pytest.mark.parametrize("kind", ["gbt"])
+def test_trees_get_partitions_of_bounded_size(spark, monkeypatch, kind):
+    monkeypatch.setattr(models, "regressor", lambda kind: Counting())
+    rows = [(Vectors.sparse(1000, [i % 1000], [1.0]), float(i % 7)) for i in range(1200)]
+    train = spark.createDataFrame(rows, ["features", "PayingPrice"]).coalesce(1)
+    # All rows fit one partition, and stay in it.
+    assert fit_price_model(train, kind) == [1200]
+    # Binned, a row takes four bytes for each of 1000 features: 100 rows a partition.
+    monkeypatch.setattr(models, "PART_BYTES", 400_000)
+    sizes = fit_price_model(train, kind)
+    assert sum(sizes) == 1200 and 90 <= sizes[0] and sizes[-1] <= 110
+
+
+@pytest.mark.parametrize("kind", ["gbt"])
+def test_trees_learn_over_several_partitions(spark, monkeypatch, kind):
+    rows = [(Vectors.dense([float(i % 10), float(i % 3)]), float(i % 10)) for i in range(300)]
+    train = spark.createDataFrame(rows, ["features", "PayingPrice"]).coalesce(1)
+    monkeypatch.setattr(models, "PART_BYTES", 800)
+    assert rmse(fit_price_model(train, kind).transform(train)) < 1.5
