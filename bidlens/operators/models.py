@@ -45,7 +45,7 @@ def in_parts(train: DataFrame) -> DataFrame:
 
 def fit_price_model(featured: DataFrame, kind: str = "linear") -> Model:
     train = featured.select("features", LABEL)
-    return regressor(kind).fit(in_parts(train) if kind == "gbt" else train)
+    return regressor(kind).fit(train if kind == "linear" else in_parts(train))
 
 
 def rmse(scored: DataFrame) -> float:

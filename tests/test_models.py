@@ -72,7 +72,7 @@ class Counting:
         return sorted(r[1] for r in train.groupBy(F.spark_partition_id()).agg(F.count("*")).collect())
 
 
-@pytest.mark.parametrize("kind", ["gbt"])
+@pytest.mark.parametrize("kind", ["gbt", "rf"])
 def test_trees_get_partitions_of_bounded_size(spark, monkeypatch, kind):
     monkeypatch.setattr(models, "regressor", lambda kind: Counting())
     rows = [(Vectors.sparse(1000, [i % 1000], [1.0]), float(i % 7)) for i in range(1200)]
@@ -85,7 +85,7 @@ def test_trees_get_partitions_of_bounded_size(spark, monkeypatch, kind):
     assert sum(sizes) == 1200 and 90 <= sizes[0] and sizes[-1] <= 110
 
 
-@pytest.mark.parametrize("kind", ["gbt"])
+@pytest.mark.parametrize("kind", ["gbt", "rf"])
 def test_trees_learn_over_several_partitions(spark, monkeypatch, kind):
     rows = [(Vectors.dense([float(i % 10), float(i % 3)]), float(i % 10)) for i in range(300)]
     train = spark.createDataFrame(rows, ["features", "PayingPrice"]).coalesce(1)
