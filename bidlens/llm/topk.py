@@ -24,6 +24,8 @@ BATCH = 256
 STEP = 8
 # The proof is tried after each of so many parts of the levels.
 PROOFS = 4
+# Batches of queries that meet a block in one group, at most.
+GROUP = 16
 
 
 def quantised(vectors: np.ndarray, scale: int) -> np.ndarray:
@@ -41,6 +43,17 @@ def build_block(rows: np.ndarray, step: int = STEP):
     return low, span, order, cuts
 
 
+def narrow(values: np.ndarray) -> np.ndarray:
+    """``values`` in the smallest of three kinds that holds them, so that less is shuffled."""
+    low, high = int(values.min(initial=0)), int(values.max(initial=0))
+    return values.astype(next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
+def widened(data: bytes, *shape: int) -> np.ndarray:
+    """The array of this shape that ``narrow`` made small."""
+    return np.frombuffer(data, f"i{len(data) // (shape[0] * shape[1])}").reshape(shape).astype(np.int64)
+
+
 def search_block(rows, ids, index, queries, own, k: int, step: int = STEP):
     """For each query the k best of the block by (score, smaller id): arrays of query number, id and score.
 
@@ -108,8 +121,10 @@ def top_k(base: DataFrame, queries: DataFrame, k: int, scale: int = 256, block:
     no part. A repeated candidate row counts each time (more than k copies cannot show); a query repeated with the same vector counts once,
     and of different vectors under one id each row is searched and the best k of all are kept.
 
-    Blocks of the index and batches of queries are dealt by hash, so that no task grows with the input;
-    each meets each once, as every query must see every vector. A block returns k rows per query at most.
+    Blocks of the index and batches of queries are dealt by hash, so that no group grows with the input; each meets
+    each once, as every query must see every vector. A block meets ``GROUP`` batches at a time and is sent once for
+    them; both sides are shuffled, as the batches once per block are too much for the driver to broadcast. A block
+    returns k rows per query at most.
     """
     small_batches(base.sparkSession)
     good = F.col("vec_id").isNotNull() & usable(F.col("embedding"))
@@ -124,33 +139,33 @@ def top_k(base: DataFrame, queries: DataFrame, k: int, scale: int = 256, block:
 
     def index_block(key, group):
         values, ids = quantised(matrix(group["embedding"]), scale), group["vec_id"].to_numpy().astype(np.int64)
-        return packed(INDEX, key, ids, values, *build_block(values))
+        low, span, order, cuts = build_block(values)
+        return packed(INDEX, key, ids, narrow(values), low, span, narrow(order), cuts)
 
     def batch_up(key, group):
-        return packed(QUERIES, key, group["vec_id"].to_numpy().astype(np.int64), quantised(matrix(group["embedding"]), scale))
+        return packed(QUERIES, key, group["vec_id"].to_numpy().astype(np.int64), narrow(quantised(matrix(group["embedding"]), scale)))
 
     index = stored(parted(rows, "block", blocks).applyInArrow(index_block, struct(INDEX)), "impact-index")
     batched = stored(parted(asked, "batch", batches).applyInArrow(batch_up, struct(QUERIES)), "query-batches")
-    meet = batched.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition("block", "batch")
     out = StructType([StructField("query_id", LongType()), StructField("vec_id", LongType()), StructField("score", LongType())])
 
-    def search(parts):
-        for part in parts:
-            for i in range(part.num_rows):
-                r = {c: part.column(c)[i].as_py() for c in part.schema.names}
-                ids, own = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["asked_ids"], np.int64)
-                dims = r["dims"]
-                held, sought = (np.frombuffer(r[c], np.int64).reshape(-1, dims) for c in ("vectors", "asked"))
-                index = (
-                    np.frombuffer(r["low"], np.int64),
-                    np.frombuffer(r["span"], np.int64),
-                    np.frombuffer(r["members"], np.int32).reshape(dims, -1),
-                    np.frombuffer(r["cuts"], np.int32).reshape(dims, -1),
-                )
-                who, found, score = search_block(held, ids, index, sought, own, k)
-                yield pa.RecordBatch.from_arrays([pa.array(own[who]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-    best = meet.join(index, ["dims", "block"]).mapInArrow(search, out)
+    def search(key, held, sought):
+        found = [np.zeros((0, 3), np.int64)]
+        for r in held.select(INDEX[1:]).to_pylist():
+            dims = key[0].as_py()
+            ids, low, span = (np.frombuffer(r[c], np.int64) for c in ("ids", "low", "span"))
+            vectors, order = widened(r["vectors"], len(ids), dims), widened(r["members"], dims, len(ids))
+            cuts = np.frombuffer(r["cuts"], np.int32).reshape(dims, -1)
+            for q in sought.select(QUERIES[1:]).to_pylist():
+                own = np.frombuffer(q["asked_ids"], np.int64)
+                who, member, score = search_block(vectors, ids, (low, span, order, cuts), widened(q["asked"], len(own), dims), own, k)
+                found.append(np.stack([own[who], member, score], axis=1))
+        return pa.table(list(np.concatenate(found).T.copy()), names=out.names)
+
+    every, groups = F.sequence(F.lit(0), F.lit(blocks - 1)), F.sequence(F.lit(0), F.lit((batches - 1) // GROUP))
+    held = index.withColumn("group", F.explode(groups))
+    sought = batched.withColumn("group", F.expr(f"batch div {GROUP}").cast("int")).withColumn("block", F.explode(every))
+    best = held.groupBy("dims", "block", "group").cogroup(sought.groupBy("dims", "block", "group")).applyInArrow(search, out)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -216,6 +216,21 @@ def test_topk(spark):
     assert topk.top_k(none, none, 5).collect() == []
 
 
+def test_topk_sends_no_batches_through_the_driver(spark, monkeypatch):
+    # Each query is a batch and meets every block: the product was broadcast, as the batches alone are small.
+    rng = np.random.default_rng(8)
+    whole = rng.integers(-9, 10, (240, 4))
+    df = spark.createDataFrame([(i, (v / 256).tolist()) for i, v in enumerate(whole)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(topk, "GROUP", 3, raising=False)
+    got = topk.top_k(df, df.where("vec_id % 10 = 0"), 3, block=20, batch=1)
+    assert "BroadcastExchange" not in got._jdf.queryExecution().executedPlan().toString()
+    found = {(r.query_id, r.rank): (r.vec_id, r.score) for r in got.collect()}
+    assert len(found) == 24 * 3
+    for q in range(0, 240, 10):
+        want = sorted((-int(v @ whole[q]), n) for n, v in enumerate(whole) if n != q)[:3]
+        assert [found[q, k + 1] for k in range(3)] == [(n, -s) for s, n in want]
+
+
 def test_licenses(docs, none):
     got = {r.doc_id: r for r in licenses.license_scan(docs).collect()}
     assert [(p.word, p.label) for p in got[13].base_places] == [(0, "cc-by"), (2, "reserved"), (5, "cc-by"), (7, "cc-by")] and got[13].n_words == 9
