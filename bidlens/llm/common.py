@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from bidlens.session import fresh_path
+from bidlens.session import stored
 
 # Rows of one Arrow batch at most.
 BATCH_ROWS = 250
@@ -29,13 +29,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a step once to the shared folder and read it again: lineage ends there."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def give_back() -> None:
     """Return the memory of a worker that it no longer needs; a worker may wait long for its next task."""
     pa.default_memory_pool().release_unused()

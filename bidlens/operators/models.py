@@ -5,11 +5,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel, RandomForestRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bidlens.operators.boosting import SparseGBT
 from bidlens.operators.features import fill_categories
 from bidlens.sources.schemas import REQUEST_COLUMNS
 
@@ -25,7 +26,9 @@ def regressor(kind: str):
     if kind == "linear":
         return LinearRegression(maxIter=100, regParam=1.0, elasticNetParam=0.1, **columns)
     if kind == "gbt":
-        return GBTRegressor(maxIter=10, seed=42, **columns)
+        learner = SparseGBT(maxIter=10, seed=42, **columns)
+        learner.part_bytes = PART_BYTES
+        return learner
     if kind == "rf":
         return RandomForestRegressor(seed=42, **columns)
     raise ValueError(f"no such model: {kind}")
@@ -44,8 +47,9 @@ def in_parts(train: DataFrame) -> DataFrame:
 
 
 def fit_price_model(featured: DataFrame, kind: str = "linear") -> Model:
-    train = featured.select("features", LABEL)
-    return regressor(kind).fit(train if kind == "linear" else in_parts(train))
+    train, learner = featured.select("features", LABEL), regressor(kind)
+    # Linear regression reads rows as they are, and sparse boosting packs them itself.
+    return learner.fit(train if isinstance(learner, LinearRegression | SparseGBT) else in_parts(train))
 
 
 def rmse(scored: DataFrame) -> float:
