@@ -361,6 +361,8 @@ class SparseGBT(GBTRegressor):
             for _ in range(self.getMaxIter()):
                 trees.append(self._grown(blocks, bins, trees, weights))
                 weights.append(self.getStepSize() if weights else 1.0)
+                # The jobs of a tree leave garbage by which the driver's heap would grow to its limit.
+                train.sparkSession.sparkContext._jvm.System.gc()
         return self._copyValues(GBTRegressionModel(self._java_model(train.sparkSession, trees, weights, bins)))
 
     def _grown(self, blocks: DataFrame, bins: Bins, trees: list[Tree], weights: list[float]) -> Tree:
